@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from loomwork.llm.bpe import op2_bpe
 from loomwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from loomwork.llm.line_dedup import OP3_SQL, op3_line_dedup
+from loomwork.llm.minhash import op1_minhash_dedup
+from loomwork.llm.mixing import OP5_SQL, op5_mix_sources
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
+    "op5_mix_sources": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
