@@ -30,7 +30,7 @@ from loomwork.llm._spark import doc_text, pieces, table
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUN = regex.compile(f"[{_SPACE}]+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")  # white space to str.split(), not to the vocabulary
-KNOWN_WORDS = 150_000
+KNOWN = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +40,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+class Recent:
+    """The last ``size`` to twice ``size`` keys that were put or found."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Codec:
     """Encoder and decoder of a tokenizer file with NFC, white space, lower-case, pattern and byte-level BPE with word ends."""
 
@@ -57,59 +75,69 @@ class Codec:
         self.first = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + suffix] for x in letters]
         pairs = (x.split(" ") if isinstance(x, str) else x for x in model["merges"])
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = list(pairs)
+        self.ranks = {self.vocab[a] << 20 | self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.whole = [self.vocab[a + b] for a, b in pairs]
         steps = {x["type"]: x for x in spec["pre_tokenizer"]["pretokenizers"]}
         pattern = steps["Split"]["pattern"]["Regex"].replace("[^\\s", f"[^{_SPACE}")
         self.pattern = regex.compile(pattern)
         self.marked = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(KNOWN), Recent(KNOWN)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece.  Queue entries are rank and position in one whole number."""
         symbols = [self.first[b] for b in piece]
         symbols[-1] = self.last[piece[-1]]
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        merges = self.merges
-        queue = [(found[0], i, found[1]) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
+        rank, whole = self.ranks.get, self.whole
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank(symbols[i] << 20 | symbols[i + 1])) is not None]
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        push, pop = heapq.heappush, heapq.heappop
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         while queue:
-            _, i, whole = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] < 0 or j < 0:
-                continue
-            found = merges.get((symbols[i], symbols[j]))
-            if not found or found[1] != whole:
+            entry = pop(queue)
+            i = entry & 0xFFFFFFFF
+            j, left = after[i], symbols[i]
+            if left < 0 or j < 0 or rank(left << 20 | symbols[j]) != entry >> 32:
                 continue  # stale: one of the two has merged with another since
-            symbols[i], symbols[j] = whole, -1
+            symbols[i] = made = whole[entry >> 32]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((whole, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
+                if (r := rank(made << 20 | symbols[k])) is not None:
+                    push(queue, r << 32 | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((symbols[h], whole))):
-                heapq.heappush(queue, (found[0], h, found[1]))
+            if h >= 0 and (r := rank(symbols[h] << 20 | made)) is not None:
+                push(queue, r << 32 | h)
         return [x for x in symbols if x >= 0]
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = np.array(self.merge(piece.encode("utf-8")), "<u4").tobytes()
+            self.pieces.put(piece, found)
+        return found
+
     def _word(self, word: str) -> bytes:
-        ids = [x for piece in self.pattern.findall(word) for x in self.merge(piece.encode("utf-8"))]
-        if len(self.known) >= KNOWN_WORDS:
-            self.known.clear()
-        packed = self.known[word] = np.array(ids, "<u4").tobytes()
-        return packed
+        found = self.words.get(word)
+        if found is None:
+            found = b"".join(map(self._piece, self.pattern.findall(word)))
+            self.words.put(word, found)
+        return found
 
     def _plain(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        if _ODD_SPACE.search(text):
-            words = [x for x in _RUN.split(text) if x]
-        else:
-            words = text.split()
-        known, make = self.known, self._word
-        # letter by letter where lower() looks at a letter's neighbours
-        words = ["".join(c.lower() for c in w) if "Σ" in w else w.lower() for w in words] if "Σ" in text else (" ".join(words)).lower().split(" ") if words else []
-        return b"".join([known.get(w) or make(w) for w in words])
+        words = [x for x in _RUN.split(text) if x] if _ODD_SPACE.search(text) else text.split()
+        if "Σ" in text:  # letter by letter where lower() looks at a letter's neighbours
+            words = ["".join(map(str.lower, w)) for w in words]
+        elif words:
+            words = " ".join(words).lower().split(" ")
+        make = self._word
+        return b"".join([make(w) for w in words])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, as little-endian unsigned 32-bit integers.  Special tokens in the text are their ids."""
