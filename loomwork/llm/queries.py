@@ -8,12 +8,14 @@ from loomwork.llm.line_dedup import OP3_SQL, op3_line_dedup
 from loomwork.llm.minhash import op1_minhash_dedup
 from loomwork.llm.mixing import OP5_SQL, op5_mix_sources
 from loomwork.llm.quality import op10_quality
+from loomwork.llm.spotsigs import op4_spot_fingerprints
 from loomwork.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_spot_fingerprints": op4_spot_fingerprints,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
