@@ -7,6 +7,7 @@ from loomwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from loomwork.llm.line_dedup import OP3_SQL, op3_line_dedup
 from loomwork.llm.minhash import op1_minhash_dedup
 from loomwork.llm.mixing import OP5_SQL, op5_mix_sources
+from loomwork.llm.pii import op8_pii
 from loomwork.llm.quality import op10_quality
 from loomwork.llm.spotsigs import op4_spot_fingerprints
 from loomwork.llm.toxicity import op7_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_pii": op8_pii,
     "op10_quality": op10_quality,
 }
 
