@@ -10,6 +10,7 @@ from loomwork.llm.mixing import OP5_SQL, op5_mix_sources
 from loomwork.llm.pii import op8_pii
 from loomwork.llm.quality import op10_quality
 from loomwork.llm.spotsigs import op4_spot_fingerprints
+from loomwork.llm.suffix_dedup import op9_suffix_dedup
 from loomwork.llm.toxicity import op7_toxicity
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
 
