@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._spark import doc_text, pieces
+from loomwork.llm._spark import doc_text, pieces, settle, table
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -181,14 +181,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows, each stays once."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows that stay, one does."""
+    kept = settle(exact_dedup(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("n")))
+    left = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return left
+    return left.dropDuplicates([id_col])  # only then is a second look at the texts due
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from loomwork.llm._spark import table
-
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

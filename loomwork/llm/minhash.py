@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
 
 def keep_one_of_near(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is kept, with all their columns; rows with a null id stay."""
-    gone = near_duplicates(docs, width, threshold, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
+    gone = near_duplicates(docs, width, threshold, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone_id"))
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -137,10 +137,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Documents without words are not in the schedule and stay once.  Repeated
     rows share one answer, the most that one of them has.
     """
-    often = mix(docs, id_col=id_col, **options).select(F.col("doc_id").alias("_mix_id"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("_copies"))
-    often = often.groupBy("_mix_id").agg(F.max("_copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.join(often, docs[id_col].cast("long").eqNullSafe(often["_mix_id"]))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    often = mix(docs, id_col=id_col, **options).select(F.col("doc_id").alias("__mix_id"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__copies"))
+    often = often.groupBy("__mix_id").agg(F.max("__copies").cast("int").alias("__copies")).where("__copies > 0")
+    rows = docs.join(often, docs[id_col].cast("long").eqNullSafe(often["__mix_id"]))
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
