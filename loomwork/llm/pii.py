@@ -126,9 +126,9 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, "+").otherwise(F.lit("0") if no is None else F.when(no, "-").otherwise("0"))
 
 
-def _candidates(text: Column, kind: str, base: Column, broad: Column) -> Column:
-    """Spans with the pattern of votes on each; broad ones only where no base span is."""
-    apart = F.filter(broad, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+def _candidates(text: Column, kind: str, base: Column, broad: Column, every_base: Column) -> Column:
+    """Spans with the pattern of votes on each; broad ones only where no base span of any kind is."""
+    apart = F.filter(broad, lambda c: ~F.exists(every_base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
 
     def judged(span: Column, is_base: bool) -> Column:
         m = span["m"]
@@ -152,7 +152,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for kind in KINDS:
         rows = rows.withColumn(f"{kind}_base", _valid_only(kind, matches(text, BASE[kind], _NEEDS[kind, "base"])))
         rows = rows.withColumn(f"{kind}_broad", matches(text, BROAD[kind], _NEEDS[kind, "broad"]))
-    return rows.select("doc_id", *(_candidates(text, k, F.col(f"{k}_base"), F.col(f"{k}_broad")).alias(k) for k in KINDS))
+    every = F.concat(*(F.col(f"{k}_base") for k in KINDS))
+    return rows.select("doc_id", *(_candidates(text, k, F.col(f"{k}_base"), F.col(f"{k}_broad"), every).alias(k) for k in KINDS))
 
 
 def reliabilities(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
@@ -216,7 +217,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
 
     Positions are code points, ends exclusive.  Base spans are there whatever the
     votes; others are there if the classifier takes their votes, and overlap no base
-    span of their kind.  A null text is empty and has none; repeated rows have equal results;
+    span.  A null text is empty and has none; repeated rows have equal results;
     an empty table gives an empty result; other columns are not read.
     """
     judged = settle(candidates(docs, id_col, text_col))
