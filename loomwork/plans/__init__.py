@@ -1 +1,8 @@
+"""Registered queries over the driver's tables, with SQL twins."""
 
+
+def load() -> tuple[dict, dict]:
+    """All queries and their SQL, by name."""
+    from loomwork.plans import base, interval_queries  # noqa: F401
+
+    return base.QUERIES, base.ORACLE_SQL
