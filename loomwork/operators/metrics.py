@@ -26,7 +26,9 @@ def confusion(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def by_label(rows: DataFrame) -> DataFrame:
     """True positives, false ones, misses, precision, recall and F1 of every label."""
-    sides = rows.select(F.explode(F.array(F.struct(F.col("gt").alias("label"), (F.col("gt") == F.col("pred")).cast("int").alias("tp"), F.lit(0).alias("fp"), (F.col("gt") != F.col("pred")).cast("int").alias("fn")), F.struct(F.col("pred"), F.lit(0), (F.col("gt") != F.col("pred")).cast("int"), F.lit(0)))).alias("x"))
+    wrong = (F.col("gt") != F.col("pred")).cast("int")
+    side = lambda label, tp, fp, fn: F.struct(label.alias("label"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    sides = rows.select(F.explode(F.array(side(F.col("gt"), 1 - wrong, F.lit(0), wrong), side(F.col("pred"), F.lit(0), wrong, F.lit(0)))).alias("x"))
     sums = sides.groupBy(F.col("x.label").alias("label")).agg(*(F.sum(f"x.{c}").alias(c) for c in ("tp", "fp", "fn")))
     p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
     return sums.withColumn("precision", p).withColumn("recall", r).withColumn("f1", 2 * p * r / F.greatest(p + r, F.lit(0.001)))
