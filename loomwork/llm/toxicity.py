@@ -82,7 +82,12 @@ class ToxicityNetwork:
         """Vectors of distinct words."""
         if not len(word):
             return np.zeros((0, WIDTH), np.float32)
-        return self.word[word] + np.add.reduceat(self.gram[gram], at[:-1], axis=0) / np.diff(at)[:, None].astype(np.float32)
+        out = self.word[word]
+        for i in range(0, len(word), 1 << 15):  # so that the 4-grams' vectors are never all there at once
+            j = min(len(word), i + (1 << 15))
+            ends = at[i : j + 1]
+            out[i:j] += np.add.reduceat(self.gram[gram[ends[0] : ends[-1]]], ends[:-1] - ends[0], axis=0) / np.diff(ends)[:, None].astype(np.float32)
+        return out
 
     def _run(self, side: str, projected: np.ndarray, index: np.ndarray, active: np.ndarray, keep: bool):
         """States (steps, windows, HIDDEN); windows are sorted by falling length, ``active`` of them at each step."""
@@ -193,21 +198,18 @@ class ToxicityNetwork:
 
     def _start(self, y: np.ndarray, text_of_word: np.ndarray, index: np.ndarray, word: np.ndarray, gram: np.ndarray, at: np.ndarray) -> None:
         """Log-odds of the texts that have a bucket or a 4-gram, towards 0 for rare ones, as first vectors."""
-        n = len(y)
-        pair = np.unique(text_of_word.astype(np.int64) * len(word) + index)
-        texts, distinct = pair // len(word), pair % len(word)
-
-        def odds(keys: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-            seen = np.unique(owner * size + keys)
-            key, positive = seen % size, y[seen // size] > 0
-            bad, good = np.bincount(key[positive], minlength=size), np.bincount(key[~positive], minlength=size)
-            prior = y.mean()
-            return np.log((bad + 8 * prior + 0.02) / (y.sum() + 1) / ((good + 8 * (1 - prior) + 0.02) / (n - y.sum() + 1)))
-
-        count = np.diff(at)[distinct]
-        spot = np.repeat(at[:-1][distinct], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        self.word[:, 0] += 0.5 * np.clip(odds(word[distinct], texts, WORD_BUCKETS), -2, 4).astype(np.float32)
-        self.gram[:, 1] += 0.5 * np.clip(odds(gram[spot], np.repeat(texts, count), GRAM_BUCKETS), -2, 4).astype(np.float32)
+        size = np.diff(at)
+        seen = {"word": np.zeros((2, WORD_BUCKETS)), "gram": np.zeros((2, GRAM_BUCKETS))}
+        bounds = np.searchsorted(text_of_word, np.arange(len(y) + 1))
+        for i in range(len(y)):  # texts that have a bucket, one text at a time
+            own = np.unique(index[bounds[i] : bounds[i + 1]])
+            seen["word"][int(y[i] > 0), np.unique(word[own])] += 1
+            spots = np.repeat(at[:-1][own], size[own]) + np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+            seen["gram"][int(y[i] > 0), np.unique(gram[spots])] += 1
+        prior, bad, good = y.mean(), (y > 0).sum() + 1, (y == 0).sum() + 1
+        for column, (own_table, (clean, toxic)) in enumerate(((self.word, seen["word"]), (self.gram, seen["gram"]))):
+            odds = np.log((toxic + 8 * prior + 0.02) / bad / ((clean + 8 * (1 - prior) + 0.02) / good))
+            own_table[:, column] += 0.5 * np.clip(odds, -2, 4).astype(np.float32)
 
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 8, rate: float = 0.02, batch: int = 256, seed: int = 11) -> "ToxicityNetwork":
         """Adam on the highest window of each text, and as many others of texts that are not toxic, both classes weighing the same."""
@@ -219,10 +221,12 @@ class ToxicityNetwork:
             return self
         index, word, gram, at = distinct_words(data, words)
         text, start, length = windows(words.counts)
-        self._start(y, np.repeat(np.arange(len(texts)), words.counts), index, word, gram, at)
+        index, word, gram = index.astype(np.int32), word.astype(np.int32), gram.astype(np.int32)
+        self._start(y, np.repeat(np.arange(len(texts), dtype=np.int32), words.counts), index, word, gram, at)
         x = self.inputs(word, gram, at)
         evidence = np.concatenate([[0], np.cumsum(np.maximum(x[:, 0] + x[:, 1], 0)[index] ** 2)])
         logits = evidence[start + length] - evidence[start]
+        del evidence
         full = np.flatnonzero(words.counts > 0)
         first = np.searchsorted(text, full)
         padded = np.concatenate([index, np.zeros(WINDOW, index.dtype)])
@@ -259,7 +263,8 @@ class ToxicityNetwork:
                     np.add.at(memory, rows, (grad**2).mean(1))
                     np.add.at(own_table, rows, -0.05 * grad / np.sqrt(memory[rows])[:, None])
         self.fitted = True
-        self._calibrate(self.text_logits(data, offsets)[full], y[full])
+        logits = self.window_logits(self.inputs(word, gram, at), index, start, length)
+        self._calibrate(np.maximum.reduceat(logits, first).astype(float), y[full])
         return self
 
     def _calibrate(self, logits: np.ndarray, y: np.ndarray) -> None:
