@@ -87,3 +87,9 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("cue") * 7 % 11
     pred = F.when(k == 0, "spa").when(k == 1, "nah").when(k == 2, "unk").when(k == 3, "oth").otherwise(F.col("lang"))
     return truth(spark, d).where("cue % 13 <> 0").select("cue", pred.alias("lang"), "dur")
+
+
+def register_views(spark: SparkSession, d: str) -> None:
+    """The stand-ins as views for ``spark.sql``."""
+    for name, f in (("segments", segments), ("turns", turns), ("transcripts", transcripts), ("truth", truth), ("predictions", predictions)):
+        f(spark, d).createOrReplaceTempView(f"loomwork_{name}")

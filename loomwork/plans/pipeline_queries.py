@@ -257,3 +257,67 @@ def st2(spark, d):
     s = millis("ts")
     rows = events.select(F.col("user_id").alias("media"), s.alias("s"), (s + F.floor(F.col("value") * 1000)).cast("long").alias("e"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("lang"))
     return live.collected(live.closed_runs(rows, longest=10**12), _checkpoint(spark))
+
+
+@query("w19_bleed_fragments", "l AS (SELECT media, pos, lang, speaker, lag(lang) OVER w AS a, lead(lang) OVER w AS b, e - s AS len FROM seg WINDOW w AS (PARTITION BY media ORDER BY s, pos)) SELECT media, pos FROM l WHERE NOT coalesce(len < 5000 AND a = lang AND b = lang, FALSE)")
+def w19(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("media").orderBy("s", "pos")
+    rows = segments(spark, d).withColumns({"a": F.lag("lang").over(w), "b": F.lead("lang").over(w)})
+    return rows.where(~F.coalesce((F.col("e") - F.col("s") < 5000) & (F.col("a") == F.col("lang")) & (F.col("b") == F.col("lang")), F.lit(False))).select("media", "pos")
+
+
+@query("w21_st3_stable_labels")
+def w21(spark, d):
+    from loomwork.operators.runs import folded, stable_labels
+
+    def fold(rows):
+        passes = [[r for r in rows if r["pos"] % 2 == k] for k in (0, 1)]
+        return [{"media": r["media"], "pos": r["pos"], "label": x} for p, names in zip(passes, stable_labels(passes)) for r, x in zip(p, names)]
+
+    return folded(turns(spark, d).select("media", "pos", "s", "e", "speaker"), fold, "media long, pos long, label string")
+
+
+@plain("a36_embedding_classifier", "SELECT count(*) AS n, 10::BIGINT AS classes FROM embeddings")
+def a36(spark, d):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = read(spark, d, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
+    model = LogisticRegression(maxIter=10, regParam=0.01).fit(rows)
+    return model.transform(rows).agg(F.count("*").alias("n"), F.lit(model.numClasses).cast("long").alias("classes"))
+
+
+@query("f52_fused_tokens", "x AS (SELECT pos, CASE WHEN n > 5 THEN 'nikan' ELSE 'nika' END AS a, CASE WHEN pos % 2 = 0 THEN 'nikantin' ELSE 'ni' END AS b FROM seg) SELECT pos, CASE WHEN length(b) > length(a) THEN b ELSE a END AS fused FROM x")
+def f52(spark, d):
+    a, b = F.when(F.col("n") > 5, "nikan").otherwise("nika"), F.when(F.col("pos") % 2 == 0, "nikantin").otherwise("ni")
+    longer = lambda p: F.when(F.char_length(p["b"]) > F.char_length(p["a"]), p["b"]).otherwise(p["a"])
+    return segments(spark, d).select("pos", F.array_join(F.transform(F.arrays_zip(F.array(a).alias("a"), F.array(b).alias("b")), longer), " ").alias("fused"))
+
+
+@plain("f36_word_forms", "SELECT conv_id, turn, len(regexp_extract_all(lower(text), 'nik[aeiou]|tik[aeiou]|mik[aeiou]|tict|nicn|ichi|pil|neci|mati')) AS hits FROM conversations")
+def f36(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.regexp_count(F.lower("text"), F.lit("nik[aeiou]|tik[aeiou]|mik[aeiou]|tict|nicn|ichi|pil|neci|mati")).alias("hits"))
+
+
+@query("u2_u3_u4_marker_sets", "m AS (SELECT media, list_distinct(list(lang)) AS langs FROM seg GROUP BY media) SELECT media, array_to_string(list_sort(list_intersect(langs, ['nah', 'may', 'xyz'])), ' ') AS both, len(list_distinct(list_concat(langs, ['xyz', 'spa']))) AS either FROM m")
+def u2(spark, d):
+    lit = lambda *xs: F.array(*map(F.lit, xs))
+    m = segments(spark, d).groupBy("media").agg(F.collect_set("lang").alias("langs"))
+    return m.select("media", F.array_join(F.array_sort(F.array_intersect("langs", lit("nah", "may", "xyz"))), " ").alias("both"), F.size(F.array_union("langs", lit("xyz", "spa"))).alias("either"))
+
+
+@query("o2_o6_o8_orders_and_limits", "c AS (SELECT speaker, count(*) AS n FROM seg GROUP BY speaker ORDER BY n DESC, speaker LIMIT 1) SELECT media, pos, s FROM seg WHERE speaker = (SELECT speaker FROM c) ORDER BY s, e, pos LIMIT 20")
+def o6(spark, d):
+    rows = segments(spark, d)
+    top = rows.groupBy("speaker").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "speaker").limit(1).select("speaker")
+    return rows.join(top, "speaker", "left_semi").orderBy("s", "e", "pos").select("media", "pos", "s").limit(20)
+
+
+@query("sql_surface", "x AS (SELECT 1) SELECT lang, count(*) AS n FROM turn GROUP BY lang")
+def sql_surface(spark, d):
+    from loomwork.plans.base import register_views
+
+    register_views(spark, d)
+    return spark.sql("SELECT lang, count(*) AS n FROM loomwork_turns GROUP BY lang")

@@ -151,3 +151,28 @@ def test_streamed_windows_close_behind_the_watermark(spark, tmp_path):
     stream = live.event_stream(spark, f"{tmp_path}/in", "ts timestamp, k long", 100)
     got = live.collected(live.windowed(stream, "ts", ["k"], "5 minutes", "1 minute"), str(tmp_path)).collect()
     assert {r.n for r in got} == {15} and len(got) >= 2
+
+
+def test_audio_is_cut_into_chunks(spark, tmp_path):
+    import wave
+
+    from loomwork.sources import media
+
+    with wave.open(f"{tmp_path}/a.wav", "wb") as f:
+        f.setnchannels(2), f.setsampwidth(2), f.setframerate(100)
+        f.writeframes(b"\x00\x40\x00\x00" * 250)
+    got = media.audio_chunks(spark, str(tmp_path), 1.0).withColumn("p", media.peak_normalised(F.col("samples"))).orderBy("chunk").collect()
+    assert [(r.chunk, r.start_s, len(r.samples)) for r in got] == [(0, 0.0, 100), (1, 1.0, 100), (2, 2.0, 50)]
+    assert got[0].samples[0] == 0.25 and got[0].p[0] == pytest.approx(0.9)
+
+
+def test_profiles_and_rules(spark, tmp_path):
+    from loomwork.sources import media
+
+    (tmp_path / "p.json").write_text(json.dumps({"code": "nah", "priority": 10, "marker_phonemes": ["a", "b"], "marker_weights": {"a": 0.5}, "marker_sequences": [["t", "l"]], "sequence_weights": {"['t', 'l']": 0.7}, "negative_markers": {"x": 0.2}}))
+    got = {(r.kind, r.gram): r.weight for r in media.profiles(spark, f"{tmp_path}/p.json").collect()}
+    assert got == {("uni", "a"): 0.5, ("uni", "b"): 1.0, ("bi", "t l"): 0.7, ("negative", "x"): 0.2}
+    (tmp_path / "g.csv").write_text("Orth,Phon\na,a\ntl,t ɬ\n")
+    assert [(r.grapheme, r.ipa) for r in media.sound_rules(spark, f"{tmp_path}/g.csv").collect()] == [("tl", ["t", "ɬ"]), ("a", ["a"])]
+    with pytest.raises(ValueError):
+        media.required(spark.range(1), ["id", "audio"])
