@@ -35,15 +35,20 @@ def distinct_words(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarr
     start, length = words.starts[first], (words.ends - words.starts)[first]
     n_grams = np.maximum(length + 2 - GRAM, 1)  # of the word with a mark before it
     at = np.concatenate([[0], np.cumsum(n_grams)])
-    place = np.arange(at[-1]) - np.repeat(at[:-1], n_grams)
-    begin, left = np.repeat(start, n_grams), np.repeat(length, n_grams)
     low = _LOWER[data]
-    code = np.zeros(at[-1], U64)
-    for k in range(GRAM):
-        spot = place + k - 1  # -1 is the mark
-        byte = np.where(spot < 0, 1, np.where(spot < left, low[np.minimum(begin + np.maximum(spot, 0), len(low) - 1)], 0)) if len(low) else np.zeros(at[-1])
-        code = code * U64(257) + byte.astype(U64)
-    return index.ravel(), (hashes % U64(WORD_BUCKETS)).astype(np.int64), (mix(code) % U64(GRAM_BUCKETS)).astype(np.int64), at
+    gram = np.zeros(at[-1], np.int32)
+    for i in range(0, len(first), 1 << 15):  # in blocks of words, for the temporary arrays
+        j = min(len(first), i + (1 << 15))
+        n = n_grams[i:j]
+        place = np.arange(at[j] - at[i]) - np.repeat(at[i:j] - at[i], n)
+        begin, left = np.repeat(start[i:j], n), np.repeat(length[i:j], n)
+        code = np.zeros(len(place), U64)
+        for k in range(GRAM):
+            spot = place + k - 1  # -1 is the mark
+            byte = np.where(spot < 0, 1, np.where(spot < left, low[np.minimum(begin + np.maximum(spot, 0), len(low) - 1)], 0))
+            code = code * U64(257) + byte.astype(U64)
+        gram[at[i] : at[j]] = (mix(code) % U64(GRAM_BUCKETS)).astype(np.int32)
+    return index.ravel().astype(np.int32), (hashes % U64(WORD_BUCKETS)).astype(np.int32), gram, at
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,14 +225,15 @@ class ToxicityNetwork:
         if not len(words.hashes):
             return self
         index, word, gram, at = distinct_words(data, words)
-        text, start, length = windows(words.counts)
-        index, word, gram = index.astype(np.int32), word.astype(np.int32), gram.astype(np.int32)
-        self._start(y, np.repeat(np.arange(len(texts), dtype=np.int32), words.counts), index, word, gram, at)
+        counts = words.counts
+        text, start, length = windows(counts)
+        del words, data
+        self._start(y, np.repeat(np.arange(len(texts), dtype=np.int32), counts), index, word, gram, at)
         x = self.inputs(word, gram, at)
         evidence = np.concatenate([[0], np.cumsum(np.maximum(x[:, 0] + x[:, 1], 0)[index] ** 2)])
         logits = evidence[start + length] - evidence[start]
         del evidence
-        full = np.flatnonzero(words.counts > 0)
+        full = np.flatnonzero(counts > 0)
         first = np.searchsorted(text, full)
         padded = np.concatenate([index, np.zeros(WINDOW, index.dtype)])
         moments: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
