@@ -5,7 +5,7 @@ from __future__ import annotations
 from loomwork.llm.bpe import op2_bpe
 from loomwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from loomwork.llm.line_dedup import OP3_SQL, op3_line_dedup
-from loomwork.llm.minhash import op1_minhash_dedup
+from loomwork.llm.minhash import OP1_SQL, op1_minhash_dedup
 from loomwork.llm.mixing import OP5_SQL, op5_mix_sources
 from loomwork.llm.pii import op8_pii
 from loomwork.llm.quality import op10_quality
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_minhash_dedup": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op5_mix_sources": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
