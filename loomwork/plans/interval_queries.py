@@ -230,10 +230,10 @@ def w13(spark, d):
 
 @query("w14_symbol_spans", """ch AS (SELECT *, CASE WHEN lang IS DISTINCT FROM lag(lang) OVER (PARTITION BY media ORDER BY s, pos) THEN 1 ELSE 0 END AS c FROM seg),
 g AS (SELECT *, sum(c) OVER (PARTITION BY media ORDER BY s, pos ROWS UNBOUNDED PRECEDING) AS run FROM ch),
-a AS (SELECT media, run, any_value(lang) AS lang, min(s) AS s, max(s) AS last, round(avg(conf), 6) AS conf FROM g GROUP BY media, run)
+a AS (SELECT media, run, any_value(lang) AS lang, min(s) AS s, max(s) AS last, round(avg(conf), 9) AS conf FROM g GROUP BY media, run)
 SELECT media, run::BIGINT AS run, lang, s, last, conf FROM a WHERE lang <> 'other'""")
 def w14(spark, d):
-    return runs.symbol_spans(segments(spark, d), "lang", "other", "conf").withColumn("conf", F.round("conf", 6))
+    return runs.symbol_spans(segments(spark, d), "lang", "other", "conf").withColumn("conf", F.round("conf", 9))
 
 
 @query("w15_transitions", "l AS (SELECT media, CASE WHEN conf < 0.05 THEN 0 WHEN conf < 0.15 THEN 1 ELSE 2 END AS st, s, pos FROM seg), p AS (SELECT media, st, lag(st) OVER (PARTITION BY media ORDER BY s, pos) AS b FROM l) SELECT media, count(*) FILTER (WHERE b IS NOT NULL AND b <> st) AS n_events FROM p GROUP BY media")

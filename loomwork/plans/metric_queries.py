@@ -170,9 +170,9 @@ def a22(spark, d):
     return me.error_rate(rows, F.levenshtein("h", "r"), F.char_length("r"), ["role"]).withColumn("rate", F.round("rate", 6))
 
 
-@query("a23_run_statistics", "x AS (SELECT 1) SELECT media, lang, count(*) AS n, count(DISTINCT speaker) AS speakers, sum(e - s)::BIGINT AS time, round(avg(conf), 6) AS conf FROM seg GROUP BY ALL")
+@query("a23_run_statistics", "x AS (SELECT 1) SELECT media, lang, count(*) AS n, count(DISTINCT speaker) AS speakers, sum(e - s)::BIGINT AS time, round(avg(conf), 9) AS conf FROM seg GROUP BY ALL")
 def a23(spark, d):
-    return segments(spark, d).groupBy("media", "lang").agg(F.count("*").alias("n"), F.countDistinct("speaker").alias("speakers"), F.sum(F.col("e") - F.col("s")).alias("time"), F.round(F.avg("conf"), 6).alias("conf"))
+    return segments(spark, d).groupBy("media", "lang").agg(F.count("*").alias("n"), F.countDistinct("speaker").alias("speakers"), F.sum(F.col("e") - F.col("s")).alias("time"), F.round(F.avg("conf"), 9).alias("conf"))
 
 
 @query("a24_separation", """a AS (SELECT avg(conf) FILTER (WHERE lang = 'nah') AS ma, stddev_pop(conf) FILTER (WHERE lang = 'nah') AS sa, quantile_cont(conf, 0.1) FILTER (WHERE lang = 'nah') AS la, quantile_cont(conf, 0.9) FILTER (WHERE lang = 'nah') AS ha,
