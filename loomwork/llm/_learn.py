@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +26,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from:
     texts = docs.select(docs[id_col].cast("long").alias("label_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("t"))
     found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "label_id").collect()  # at most 2 * per_class rows on either side
     return sorted({r.label_id: (r.label_id, bytes(r.t), int(r.y)) for r in sorted(found, key=lambda r: bytes(r.t))}.values())
+
+
+def give_back_memory() -> None:
+    """Return what training has freed to the system, where the C library can; the driver has other things to hold afterwards."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

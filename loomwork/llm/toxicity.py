@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._learn import fold_of, labelled_sample
+from loomwork.llm._learn import fold_of, give_back_memory, labelled_sample
 from loomwork.llm._spark import doc_text, pieces, table
 from loomwork.llm._text import U64, Words, buffers, mix, split_words
 
@@ -295,7 +295,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, fold
     """Fitted on at most ``2 * per_class`` labelled rows outside the held-out fold; without labels of both kinds it scores 0."""
     rows = labelled_sample(docs, labels, "toxic", fold_of(F.col("doc_id"), folds) != held_out, per_class)
     y = np.array([r[2] for r in rows], float)
-    return ToxicityNetwork().fit([r[1] for r in rows], y) if len(set(y.tolist())) == 2 else ToxicityNetwork()
+    if len(set(y.tolist())) < 2:
+        return ToxicityNetwork()
+    model = ToxicityNetwork().fit([r[1] for r in rows], y)
+    del rows
+    give_back_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
