@@ -110,7 +110,8 @@ def _word_arrays(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
                 cut = [short[a:b].tobytes() for a, b in zip(words.offsets[:-1], words.offsets[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cut, pa.binary())], ["doc_id", "words"])
 
-    rows = doc_text(docs, id_col, text_col).join(ids, "doc_id", "left_semi")
+    # repeated rows go while the rows are still where the join has put and sorted them
+    rows = doc_text(docs, id_col, text_col).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.mapInArrow(run, "doc_id long, words binary")
 
 
@@ -142,7 +143,7 @@ def repeated_pairs(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col: s
     """``(doc_id, start, end, other_id, other_start)``: each match twice, once from either document; positions count words, ends are exclusive."""
     pairs = settle(neighbours(settle(suffixes(docs, least, gram, id_col, text_col))))
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    words = settle(_word_arrays(docs, ids, id_col, text_col).dropDuplicates(["doc_id"]))
+    words = settle(_word_arrays(docs, ids, id_col, text_col))
     one, two = (words.select(F.col("doc_id").alias(k), F.col("words").alias(f"words_{k}")) for k in "ab")
 
     def run(batches):
