@@ -2,8 +2,8 @@
 
 Lines are exploded as the hashes of their keys, each key once a document; a
 count by hash finds the keys of many documents, partial counts being summed
-before the shuffle, so that a line that every document has costs one row a task.  Where
-frequent keys occur, they return to their documents as one array of hashes a
+before the shuffle, so that a line that every document has costs one row a task.  On
+their way to the frequent keys the documents of a key are salted.  Where frequent keys occur, they return to their documents as one array of hashes a
 document, and the text is filtered and joined again in the order of its lines.
 A text crosses the network once, and only beside the frequent keys of its own.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm._spark import table
 
+SALTS = 32  # parts of a key's documents on their way to the frequent keys
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -56,8 +57,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     often = frequent_keys(rows, min_docs, min_chars)
-    lines = rows.select("doc_id", F.explode(F.transform(_keys(F.col("text"), min_chars), key_hash)).alias("k"))
-    hits = lines.join(often, "k", "left_semi").groupBy("doc_id").agg(F.collect_set("k").alias("hits"))
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    lines = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), F.explode(F.transform(_keys(F.col("text"), min_chars), key_hash)).alias("k"))
+    hits = lines.join(often, ["k", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("k").alias("hits"))
     whole = rows.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     parts = F.split("text", "\n")
     left = F.filter(parts, lambda x: ~F.array_contains(F.col("hits"), key_hash(line_key(fold(x)))))
