@@ -1,14 +1,14 @@
 """Suffix-array dedup over sparse suffixes.
 
 1.  Of every ``GRAM`` words a hash; of every run of grams that a passage of
-    ``least`` words spans, the one with the smallest hash is a minimiser.  Suffixes are
-    kept at minimisers only, about one in thirteen positions, and any two passages of
-    ``least`` equal words keep a suffix at the same place.
-2.  Suffixes with the same first ``GRAM`` words are sorted by what follows and
-    by what precedes them, and compared with their neighbours.  A group of very
-    many is cut into parts, each with the group's first suffix, so that none is without a neighbour.
-3.  The matches are extended word by word to the left and to the right over the
-    whole texts, and those of ``least`` words or more are repeated passages.
+    ``least`` words spans, the one with the smallest hash is its minimiser.  Equal passages
+    have equal minimisers, so that a minimiser of one document only rules out all
+    passages around it: about one gram in thirteen is looked at across documents.
+2.  Around the minimisers that are left, at each of their places, the suffix from every word whose
+    first ``least`` words have that minimiser is kept.  Suffixes that are neighbours in the
+    suffix array with ``least`` words or more in common are those with the same first
+    ``least`` words: they are grouped by these, in linear time and whatever the size of a group.
+3.  Kept suffixes of a document that overlap are one passage.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from loomwork.llm._spark import doc_text, pieces, settle, table
 from loomwork.llm._text import U64, Words, _power_tables, buffers, mix, split_words
+from loomwork.llm.components import components
 
-GRAM, PART = 25, 512
+GRAM = 25
 
 
 def gram_hashes(words: Words, gram: int) -> np.ndarray:
@@ -43,7 +44,7 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def minimisers(words: Words, gram: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, word (of the batch) and hash of every kept suffix; of equal ones in a text the first."""
+    """Text, first word (of the batch) and hash of the minimiser of every passage of ``least`` words."""
     n, span = len(words.hashes), least - gram + 1
     if n < least:
         empty = np.zeros(0, np.int64)
@@ -54,65 +55,61 @@ def minimisers(words: Words, gram: int, least: int) -> tuple[np.ndarray, np.ndar
     smallest = sliding_minimum((hashes & ~low) | places, span)
     text = np.repeat(np.arange(len(words.counts)), words.counts)
     inside = np.flatnonzero(np.arange(len(smallest)) + least <= words.offsets[1:][text[: len(smallest)]])
-    spots = np.unique((smallest[inside] & low).astype(np.int64))
-    _, first = np.unique(np.rec.fromarrays([text[spots], hashes[spots]]), return_index=True)
-    spots = np.sort(spots[first])
-    return text[spots], spots, hashes[spots]
+    return text[inside], inside, hashes[(smallest[inside] & low).astype(np.int64)]
 
 
-def suffixes(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, after, before, doc_id, pos)``: kept suffixes with hashes of their first words, of the words after these and of those before."""
+def keys(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(key, doc_id)``: the minimisers of each document, each once a text."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                words = split_words(*buffers(part.column(1)))
-                text, spot, key = minimisers(words, gram, least)
-                if not len(spot):
+                text, _, key = minimisers(split_words(*buffers(part.column(1))), gram, least)
+                if not len(text):
                     continue
-                hashes = gram_hashes(words, gram)
-                begin, end = words.offsets[:-1][text], words.offsets[1:][text]
-                after = np.where(spot + 2 * gram <= end, hashes[np.minimum(spot + gram, len(hashes) - 1)], U64(0))
-                before = np.where(spot - gram >= begin, hashes[np.maximum(spot - gram, 0)], U64(0))
-                ids = part.column(0).take(pa.array(text))
-                columns = [pa.array(key.view(np.int64)), pa.array((after >> U64(32)).astype(np.uint32).view(np.int32)), pa.array((before >> U64(32)).astype(np.uint32).view(np.int32)), ids, pa.array((spot - begin).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "after", "before", "doc_id", "pos"])
+                fresh = np.ones(len(text), bool)
+                fresh[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+                text, key = text[fresh], key[fresh]
+                order = np.lexsort((key, text))
+                text, key = text[order], key[order]
+                fresh = np.ones(len(text), bool)
+                fresh[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(key[fresh].view(np.int64)), part.column(0).take(pa.array(text[fresh]))], ["key", "doc_id"])
 
     rows = doc_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "key long, after int, before int, doc_id long, pos int")
-
-
-def neighbours(kept: DataFrame) -> DataFrame:
-    """``(a, b, places)``: documents a < b with neighbouring suffixes; places are pairs of word positions in each."""
-    often = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where("least_id < most_id")
-    often = often.select("key", "least_id", F.ceil(F.col("n") / PART).alias("cuts"))
-    rows = kept.join(often, "key").withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts"))
-    head = (F.col("doc_id") == F.col("least_id")) & (F.col("cuts") > 1)
-    rows = rows.withColumn("cut", F.explode(F.when(head, F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).otherwise(F.array("cut"))))
-    found = []
-    for order in (["after", "before"], ["before", "after"]):
-        window = Window.partitionBy("key", "cut").orderBy(*order, "doc_id", "pos")
-        found.append(F.lag(F.struct(F.col("doc_id").alias("d"), F.col("pos").alias("p"))).over(window))
-    pairs = rows.select("doc_id", "pos", F.array(*found).alias("near")).select("doc_id", "pos", F.explode("near").alias("o")).where("o IS NOT NULL AND o.d <> doc_id")
-    one, two = F.struct(F.col("doc_id").alias("d"), F.col("pos").alias("p")), F.col("o")
-    pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
-    return pairs.groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b")).agg(F.collect_set(F.struct(F.col("x.p").alias("p"), F.col("y.p").alias("q"))).alias("places"))
+    return rows.mapInArrow(run, "key long, doc_id long")
 
 
-def _word_arrays(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, words)``: 32-bit hashes of all words, as bytes, of the documents in ``ids``."""
+def suffixes(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, start, key, hash)``: every suffix whose first ``least`` words, hashed, have a minimiser that several documents have."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 words = split_words(*buffers(part.column(1)))
-                short = (words.hashes >> U64(32)).astype("<u4")
-                cut = [short[a:b].tobytes() for a, b in zip(words.offsets[:-1], words.offsets[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cut, pa.binary())], ["doc_id", "words"])
+                text, start, key = minimisers(words, gram, least)
+                wanted = np.isin(key.view(np.int64), part.column(2).flatten().to_numpy(zero_copy_only=False))
+                text, start, key = text[wanted], start[wanted], key[wanted]
+                if not len(text):
+                    continue
+                columns = [part.column(0).take(pa.array(text)), pa.array((start - words.offsets[:-1][text]).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(gram_hashes(words, least)[start].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "key", "hash"])
 
+    found = settle(keys(docs, least, gram, id_col, text_col))
+    # settled, so that the join reads it from a shuffle of its own and can split the documents of a key
+    often = settle(found.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where("least_id < most_id").select("key"))
+    wanted = found.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     # repeated rows go while the rows are still where the join has put and sorted them
-    rows = doc_text(docs, id_col, text_col).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.mapInArrow(run, "doc_id long, words binary")
+    rows = doc_text(docs, id_col, text_col).join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "keys")
+    return rows.mapInArrow(run, "doc_id long, start long, key long, hash long")
+
+
+def repeated_suffixes(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, start, least)``: suffixes whose first ``least`` words several documents have, and the smallest ``(doc_id, start)`` of those."""
+    rows = settle(suffixes(docs, least, gram, id_col, text_col))
+    groups = rows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.max("doc_id").alias("most_id"))
+    groups = settle(groups.where("least.doc_id < most_id").select("key", "hash", "least"))
+    return rows.join(groups, ["key", "hash"]).select("doc_id", "start", "least")
 
 
 def _run_length(same: np.ndarray) -> int:
@@ -139,46 +136,40 @@ def extended(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], least:
     return out
 
 
-def repeated_pairs(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, end, other_id, other_start)``: each match twice, once from either document; positions count words, ends are exclusive."""
-    pairs = settle(neighbours(settle(suffixes(docs, least, gram, id_col, text_col))))
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    words = settle(_word_arrays(docs, ids, id_col, text_col))
-    one, two = (words.select(F.col("doc_id").alias(k), F.col("words").alias(f"words_{k}")) for k in "ab")
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
-            for a, b, places, x, y in zip(col["a"].to_pylist(), col["b"].to_pylist(), col["places"].to_pylist(), col["words_a"], col["words_b"]):
-                x, y = (np.frombuffer(z.as_buffer(), "<u4") for z in (x, y))
-                for p, q, n in extended(x, y, [(s["p"], s["q"]) for s in places], least):
-                    rows += [(a, p, p + n, b, q), (b, q, q + n, a, p)]
-            columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "end", "other_id", "other_start"])
-
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "places", "words_a", "words_b")
-    return joined.mapInArrow(run, "doc_id long, start long, end long, other_id long, other_start long")
-
-
 def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start, end, other_id, first)``: passages of ``least`` or more words that other documents have too.
 
     Words are runs outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; positions count
-    words, ends are exclusive.  Matches of a document that overlap are one
-    passage; other_id is the smallest id found with part of it, and first is true
-    if that is larger than the document's own: one document of each chain of matches keeps the
-    passage.  Texts of fewer words, null and empty ones and rows with a null id
+    words, ends are exclusive.  Every place at which a document has ``least`` words that another one has
+    is found, also several of the same words.  Matches of a document that overlap or touch are one
+    passage, and passages with a match in common are chained.  One document of each chain
+    keeps its passages: the smallest, there first is true and other_id the next one; elsewhere other_id is
+    the smallest.  What only others of a chain have in common, they have not from that document.
+    Texts of fewer words, null and empty ones and rows with a null id
     have none; repeated rows are one document; an empty table gives an empty result;
     other columns are not read.
     """
-    rows = repeated_pairs(docs, least, gram, id_col, text_col).distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
-    rows = rows.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.groupBy("doc_id", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_id").alias("other_id"))
-    return rows.select("doc_id", "start", "end", "other_id", (F.col("doc_id") < F.col("other_id")).alias("first"))
+    order = Window.partitionBy("doc_id").orderBy("start")
+    before, same = F.lag("start").over(order), F.lag("least").over(order)
+    rows = repeated_suffixes(docs, least, gram, id_col, text_col)
+    rows = rows.withColumn("new", F.coalesce(F.col("start") > before + least, F.lit(True)))
+    rows = rows.withColumn("goes_on", F.coalesce((before == F.col("start") - 1) & (same["doc_id"] == F.col("least.doc_id")) & (same["start"] == F.col("least.start") - 1), F.lit(False)))
+    begun = F.max(F.when(F.col("new"), F.col("start"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = settle(rows.select("doc_id", "start", "least", "goes_on", begun.alias("passage")))
+
+    node = F.struct("doc_id", F.col("passage").alias("start"))
+    own = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("start") == F.col("least.start"))
+    centres = rows.where(own).select("least", node.alias("a"))
+    links = components(rows.where(~own & ~F.col("goes_on")).select("least", node.alias("b")).distinct().join(centres, "least").select("a", "b"))
+    chains = links.select(F.col("node.doc_id").alias("doc_id"), F.col("node.start").alias("start"), F.col("component_id").alias("chain"))
+    passages = rows.groupBy("doc_id", F.col("passage").alias("start")).agg((F.max("start") + least).alias("end"))
+    passages = settle(passages.join(chains, ["doc_id", "start"]))
+
+    first = F.col("doc_id") == F.col("chain.doc_id")
+    others = passages.where(~first)
+    following = others.groupBy("chain").agg(F.min("doc_id").alias("other_id"))
+    kept = passages.where(first).join(following, "chain").select("doc_id", "start", "end", "other_id", F.lit(True).alias("first"))
+    return kept.unionByName(others.select("doc_id", "start", "end", F.col("chain.doc_id").alias("other_id"), F.lit(False).alias("first")))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

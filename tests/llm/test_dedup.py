@@ -150,6 +150,25 @@ def test_repeated_passages_match_brute_force(spark, nothing):
     assert repeated_passages(nothing).count() == 0
 
 
+def by_word(passages):
+    got = collections.defaultdict(set)
+    for r in passages.collect():
+        got[r.doc_id].update(range(r.start, r.end))
+    return got
+
+
+def test_passages_around_the_words_of_a_very_large_group(spark):
+    """40 words that 3,000 documents have, and six passages of 50 around them that only two have each."""
+    boiler = [f"b{i}" for i in range(40)]
+    own = lambda i, k: [f"o{i}x{k}x{j}" for j in range(30)]
+    texts = {i: own(i, 0) + boiler + own(i, 1) for i in range(3000)}
+    for k in range(6):
+        for i in (10 + k, 2900 + k):
+            texts[i] = own(i, 0) + [f"l{k}x{j}" for j in range(5)] + boiler + [f"r{k}x{j}" for j in range(5)] + own(i, 1)
+    got = by_word(repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")))
+    assert got == {i: set(range(30, 80)) for k in range(6) for i in (10 + k, 2900 + k)}
+
+
 def test_extension_stops_at_the_texts_ends():
     import numpy as np
 
