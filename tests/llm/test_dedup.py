@@ -169,6 +169,23 @@ def test_passages_around_the_words_of_a_very_large_group(spark):
     assert got == {i: set(range(30, 80)) for k in range(6) for i in (10 + k, 2900 + k)}
 
 
+def test_passage_at_two_places_of_a_document(spark):
+    """The second place and a passage whose minimiser stood earlier in other words are found."""
+    passage, short = [f"p{i}" for i in range(70)], [f"s{i}" for i in range(30)]
+    own = lambda k: [f"o{k}x{j}" for j in range(40)]
+    wide = [f"a{i}" for i in range(15)] + short + [f"z{i}" for i in range(15)]
+    texts = {1: own(1) + passage + own(2) + passage + own(3), 2: own(4) + passage, 3: own(5) + short + own(6) + wide + own(7), 4: wide + own(8), 5: ["same"] * 300, 6: own(9) + ["same"] * 60 + own(10) + ["same"] * 55}
+    got = by_word(repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")))
+    assert got == {
+        1: set(range(40, 110)) | set(range(150, 220)),
+        2: set(range(40, 110)),
+        3: set(range(110, 170)),
+        4: set(range(60)),
+        5: set(range(300)),
+        6: set(range(40, 100)) | set(range(140, 195)),
+    }
+
+
 def test_extension_stops_at_the_texts_ends():
     import numpy as np
 
