@@ -186,6 +186,16 @@ def test_passage_at_two_places_of_a_document(spark):
     }
 
 
+def test_one_document_of_a_chain_is_first(spark):
+    """A passage of 60 words in 400 documents, each with words of its own around it, and a second chain."""
+    passage, other = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(60)]
+    own = lambda i, k: [f"o{i}x{k}x{j}" for j in range(30)]
+    texts = {i: own(i, 0) + passage + own(i, 1) for i in range(1, 401)} | {i: own(i, 0) + other for i in (900, 950, 1000)}
+    rows = [(i, " ".join(w)) for i, w in texts.items()] + [(1, " ".join(texts[1]))]
+    got = {r.doc_id: (r.start, r.end, r.other_id, r.first) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (30, 90, 2 if i == 1 else 1, i == 1) for i in range(1, 401)} | {i: (30, 90, 950 if i == 900 else 900, i == 900) for i in (900, 950, 1000)}
+
+
 def test_extension_stops_at_the_texts_ends():
     import numpy as np
 
