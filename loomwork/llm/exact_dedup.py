@@ -114,14 +114,17 @@ class CuckooIndex:
         return (x for x in self.content if x is not None)
 
 
+def _digests(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer().to_pybytes().translate(_FOLD)).digest() for x in texts], pa.binary())
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, digest)``: SHA-256 of each whole text with A-Z lower-cased; a null text is empty."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                found = [hashlib.sha256(x.as_buffer().to_pybytes().translate(_FOLD)).digest() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _digests(part.column(1))], ["doc_id", "digest"])
 
     return doc_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest binary")
 
@@ -181,12 +184,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows that stay, one does."""
-    kept = settle(exact_dedup(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("n")))
-    left = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns; of rows that stay and share id and text, one does.
+
+    Rows that share an id, or have none, and differ in text are documents of their own.
+    """
+    found = exact_dedup(docs, id_col, text_col)
+    kept = settle(found.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("n"), F.count_if("kept").alias("stay")).where("stay > 0"))
     if kept.where("n > 1").isEmpty():
-        return left
-    return left.dropDuplicates([id_col])  # only then is a second look at the texts due
+        return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    # only then is a second look at the texts due
+    pairs = settle(found.where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest")).distinct())
+    digest = F.arrow_udf(_digests, "binary")
+    rows = docs.withColumns({"__id": docs[id_col].cast("long"), "__digest": digest(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))})
+    rows = rows.join(pairs, (F.col("__digest") == F.col("__kept_digest")) & F.col("__id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return rows.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

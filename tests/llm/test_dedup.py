@@ -51,6 +51,14 @@ def test_keep_exact_keeps_columns_and_one_of_repeated_rows(docs, rows, nothing):
     assert keep_exact(nothing).count() == 0
 
 
+def test_keep_exact_tells_rows_without_or_with_equal_ids_by_text(spark):
+    rows = [(None, "one"), (None, "two"), (None, "Two"), (None, None), (None, "copy"), (5, "COPY"), (7, "three"), (7, "four"), (7, "four"), (7, "late"), (9, "late"), (8, "lone")]
+    kept = keep_exact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in kept) == [
+        ("5", "copy"), ("7", "four"), ("7", "three"), ("8", "lone"), ("9", "late"), ("None", ""), ("None", "one"), ("None", "two"),
+    ]
+
+
 def test_deleted_digests_leave_the_index(docs):
     found = digests(docs)
     gone = found.where("doc_id IN (1, 150)").select("digest")
