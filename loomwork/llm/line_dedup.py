@@ -1,8 +1,9 @@
 """Line dedup in DataFrame functions only.
 
-Lines are exploded as the hashes of their keys, each key once a document; a
-count by hash finds the keys of many documents, partial counts being summed
-before the shuffle, so that a line that every document has costs one row a task.  On
+Lines are exploded as the hashes of their keys, each key once a row; a
+count by hash finds the keys of many rows, partial counts being summed
+before the shuffle, so that a line that every document has costs one row a task.  Only for
+these the distinct documents are counted.  On
 their way to the frequent keys the documents of a key are salted.  Where frequent keys occur, they return to their documents as one array of hashes a
 document, and the text is filtered and joined again in the order of its lines.
 A text crosses the network once, and only beside the frequent keys of its own.
@@ -51,15 +52,17 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     Lines are what ``\\n`` separates; a null or empty text is one empty line.  A
     line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z
     lower-cased.  A key of at least ``min_chars`` code points (1 or more) that at
-    least ``min_docs`` documents have loses all its lines.  Each row is a
-    document of its own, repeated rows and null ids too.  An empty table gives
+    least ``min_docs`` documents have loses all its lines.  Rows that share an id are
+    one document; rows with a null id count as none, but lose their lines, too.  An empty table gives
     an empty result; other columns are not read.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    often = frequent_keys(rows, min_docs, min_chars)
-    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    maybe = frequent_keys(rows, min_docs, min_chars).withColumn("salt", salts)
     lines = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), F.explode(F.transform(_keys(F.col("text"), min_chars), key_hash)).alias("k"))
-    hits = lines.join(often, ["k", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("k").alias("hits"))
+    pairs = lines.join(maybe, ["k", "salt"], "left_semi").distinct()
+    often = pairs.groupBy("k").agg(F.count("doc_id").alias("n")).where(F.col("n") >= min_docs).select("k").withColumn("salt", salts)
+    hits = pairs.join(often, ["k", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("k").alias("hits"))
     whole = rows.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     parts = F.split("text", "\n")
     left = F.filter(parts, lambda x: ~F.array_contains(F.col("hits"), key_hash(line_key(fold(x)))))

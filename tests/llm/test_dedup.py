@@ -80,6 +80,13 @@ def test_line_dedup_matches_brute_force(docs, rows, nothing):
     assert line_dedup(nothing).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    """A line of five documents, each there twice, and one of 12 rows without an id stay; one of ten documents goes everywhere."""
+    rows = [(i, f"five\nown {i}") for i in range(5)] * 2 + [(None, f"none\nown {i}") for i in range(12)] + [(i, f"ten\nown {i}") for i in range(10, 20)] + [(None, "ten\nlast")]
+    got = sorted((str(r.doc_id), r.n_dropped, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((str(i), int("ten" in t), t.replace("ten\n", "")) for i, t in rows)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (200, 202), (7, 7)]
     got = {r.node: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
