@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +17,15 @@ from pyspark.sql import functions as F
 def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int | None, int | None]]:
     """Pairs of positions of a cheapest alignment; on ties both advance, else the first does."""
     n, m = len(a), len(b)
-    cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i][j] = min(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    number: dict = {}
+    x, y = (np.array([number.setdefault(s, len(number)) for s in t], np.int64) for t in (a, b))
+    ramp = np.arange(m + 1, dtype=np.int32)
+    cost = np.empty((n + 1, m + 1), np.int32)
+    cost[0] = ramp
+    for i in range(1, n + 1):  # a whole row at once: what comes from the left is a running minimum
+        cost[i, 0] = i
+        cost[i, 1:] = np.minimum(cost[i - 1, :-1] + (y != x[i - 1]), cost[i - 1, 1:] + 1)
+        cost[i] = np.minimum.accumulate(cost[i] - ramp) + ramp
     out: list[tuple[int | None, int | None]] = []
     i, j = n, m
     while i or j:

@@ -200,8 +200,8 @@ def f20(spark, d):
         return sq.vote(list(a), [0.4 + len(x) / 20 for x in a], list(b), [0.5] * len(b))
 
     t = _words(spark, d)
-    other = t.select((F.col("item_id") - 1).alias("item_id"), F.slice("w", 1, 12).alias("b"))
-    return t.select("item_id", F.slice("w", 1, 12).alias("a")).join(other, "item_id").select("item_id", sq.vectorised(fuse, "array<string>")("a", "b").alias("fused"))
+    other = t.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("b"))
+    return t.select("item_id", F.col("w").alias("a")).join(other, "item_id").select("item_id", sq.vectorised(fuse, "array<string>")("a", "b").alias("fused"))
 
 
 @query("f23_f25_letters_and_sounds")

@@ -47,6 +47,49 @@ def test_alignment_and_vote():
     assert sq.vote([], [], [], []) == []
 
 
+def test_alignment_and_vote_match_brute_force_over_whole_texts(spark, tmp_path):
+    """Costs by recursion, the backtrace from the end; the texts have up to 40 words."""
+    import functools
+    import random
+
+    from loomwork.plans import load
+
+    def brute(a, b):
+        @functools.cache
+        def cost(i, j):
+            return i + j if not i or not j else min(cost(i - 1, j - 1) + (a[i - 1] != b[j - 1]), cost(i - 1, j) + 1, cost(i, j - 1) + 1)
+
+        i, j, out = len(a), len(b), []
+        while i or j:
+            if i and j and cost(i, j) == cost(i - 1, j - 1) + (a[i - 1] != b[j - 1]):
+                i, j, pair = i - 1, j - 1, (i - 1, j - 1)
+            elif i and cost(i, j) == cost(i - 1, j) + 1:
+                i, pair = i - 1, (i - 1, None)
+            else:
+                j, pair = j - 1, (None, j - 1)
+            out.append(pair)
+        return out[::-1]
+
+    def fused(a, b):
+        out = []
+        for i, j in brute(a, b):
+            one, two = i is not None and (0.4 + len(a[i]) / 20, a[i]), j is not None and (0.5, b[j])
+            if one and two:
+                out.append(two[1] if one[1] != two[1] and two[0] + 0.04 > one[0] + 0.02 else one[1])
+            elif one and one[0] >= 0.5 or two:
+                out.append((one or two)[1])
+        return out
+
+    rng = random.Random(3)
+    texts = [[rng.choice(["a", "bb", "ccc", "dddd", "eeeee"]) for _ in range(rng.choice([1, 5, 20, 40]))] for _ in range(12)]
+    for a, b in zip(texts, texts[1:]):
+        assert sq.align(a, b) == brute(tuple(a), tuple(b))
+    assert sq.align([], ["a"]) == [(None, 0)] and sq.align([], []) == []
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.fused for r in load()[0]["f19_f20_phone_vote"](spark, str(tmp_path)).collect()}
+    assert got == {i: fused(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
+
+
 def test_morphemes_and_sounds():
     tables = ({"ni": ("ni", 1), "ki": ("ki", 2)}, {"itta": "itta", "kali": "kali"}, {"tin": ("tin", 1)})
     assert sq.morphemes("nikitta", *tables) == [("prefix", "ni"), ("rest", "kitta")] or sq.morphemes("nikiitta", *tables) == [("prefix", "ni"), ("prefix", "ki"), ("root", "itta")]
