@@ -276,10 +276,14 @@ def c9(spark, d):
 
 @query("o1_o3_natural_order", "x AS (SELECT 1) SELECT pos, row_number() OVER (ORDER BY CASE WHEN speaker = 'S3' THEN 10000 ELSE substr(speaker, 2)::INT END, s, pos) AS rank FROM seg WHERE media = (SELECT min(media) FROM seg)")
 def o3(spark, d):
-    rows = segments(spark, d)
-    rows = rows.join(rows.agg(F.min("media").alias("media")), "media")
+    rows = o3_all(spark, d)
+    return rows.join(rows.agg(F.min("media").alias("media")), "media").select("pos", "rank")
+
+
+@query("o1_o3_natural_order_all")
+def o3_all(spark, d):
     number = F.when(F.col("speaker") != "S3", F.regexp_extract("speaker", "(\\d+)", 1).cast("int"))
-    return rows.select("pos", F.row_number().over(Window.partitionBy("media").orderBy(F.coalesce(number, F.lit(10000)), "s", "pos")).alias("rank"))
+    return segments(spark, d).select("media", "pos", F.row_number().over(Window.partitionBy("media").orderBy(F.coalesce(number, F.lit(10000)), "s", "pos")).alias("rank"))
 
 
 @query("o5_most_common", "x AS (SELECT 1) SELECT speaker, lang, count(*) AS n FROM seg GROUP BY ALL ORDER BY n DESC, speaker, lang LIMIT 6")

@@ -124,3 +124,19 @@ def test_costs_and_wilson(spark):
 def test_speaking_shares_round_half_to_even(spark):
     rows = spark.createDataFrame([(1, "A", 0, 25), (1, "B", 25, 200), (1, None, 0, 900)], "media long, speaker string, s long, e long")
     assert [(r.speaker, r.percent) for r in speaking_shares(rows).orderBy("rank").collect()] == [("B", 88), ("A", 12)]
+
+
+def test_natural_order_ranks_all_recordings(spark, tmp_path):
+    import datetime
+
+    from loomwork.plans import load
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(days=i % 3, seconds=(i * 7) % 50), (i * 5) % 8, "click", 1.0, "") for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    expected = set()
+    for day in range(3):
+        mine = sorted((r for r in rows if r[0] % 3 == day), key=lambda r: (10000 if r[2] % 4 == 3 else r[2] % 4, r[1], r[0]))
+        expected |= {(r[1].date().toordinal() - datetime.date(1970, 1, 1).toordinal(), r[0], k + 1) for k, r in enumerate(mine)}
+    got = load()[0]["o1_o3_natural_order_all"](spark, str(tmp_path)).collect()
+    assert {(r.media, r.pos, r.rank) for r in got} == expected and len(got) == 60
