@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import functions as F
@@ -289,6 +290,35 @@ def a36(spark, d):
     return model.transform(rows).agg(F.count("*").alias("n"), F.lit(model.numClasses).cast("long").alias("classes"))
 
 
+def cross_validated(rows, folds: int = 5):
+    """``(id, label, fold, prediction, fold_accuracy, accuracy)`` of rows of ``(id, label, features)``.
+
+    Each label's rows are dealt in turn by the hash of their id; a row's prediction
+    is that of the model fitted on the other folds.  Accuracy is that of all predictions.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    rows = rows.withColumn("fold", (F.row_number().over(order) % folds).cast("int")).cache()
+    held = []
+    for k in range(folds):
+        model = LogisticRegression(maxIter=10, regParam=0.01).fit(rows.where(F.col("fold") != k))
+        held.append(model.transform(rows.where(F.col("fold") == k)).select("id", "label", "fold", "prediction"))
+    out = functools.reduce(lambda a, b: a.unionByName(b), held)
+    right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    by_fold = out.groupBy("fold").agg(right.alias("fold_accuracy"))
+    return out.join(F.broadcast(by_fold), "fold").crossJoin(F.broadcast(out.agg(right.alias("accuracy"))))
+
+
+@query("a36_cross_validated_predictions")
+def a36_predictions(spark, d):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return cross_validated(rows).select(F.col("id").alias("vec_id"), "fold", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "fold_accuracy", "accuracy")
+
+
 @query("f52_fused_tokens", "x AS (SELECT pos, CASE WHEN n > 5 THEN 'nikan' ELSE 'nika' END AS a, CASE WHEN pos % 2 = 0 THEN 'nikantin' ELSE 'ni' END AS b FROM seg) SELECT pos, CASE WHEN length(b) > length(a) THEN b ELSE a END AS fused FROM x")
 def f52(spark, d):
     a, b = F.when(F.col("n") > 5, "nikan").otherwise("nika"), F.when(F.col("pos") % 2 == 0, "nikantin").otherwise("ni")

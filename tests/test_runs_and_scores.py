@@ -126,6 +126,20 @@ def test_speaking_shares_round_half_to_even(spark):
     assert [(r.speaker, r.percent) for r in speaking_shares(rows).orderBy("rank").collect()] == [("B", 88), ("A", 12)]
 
 
+def test_cross_validation_predicts_rows_it_was_not_fitted_on(spark):
+    """Two separable labels, and one row of the first among the second: it is predicted wrong, all others right."""
+    from pyspark.ml.functions import array_to_vector
+
+    from loomwork.plans.pipeline_queries import cross_validated
+
+    rows = [(i, i % 2, [(-1.0) ** i * 5 + i / 100, 1.0]) for i in range(40)] + [(40, 0, [-5.0, 1.0])]
+    frame = spark.createDataFrame(rows, "id long, label int, x array<double>").select("id", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    got = cross_validated(frame).collect()
+    assert {r.id: r.prediction for r in got} == {i: float(i % 2) if i < 40 else 1.0 for i in range(41)} and len(got) == 41
+    assert {r.fold for r in got} == set(range(5)) and {round(r.accuracy, 9) for r in got} == {round(40 / 41, 9)}
+    assert all(abs(r.fold_accuracy - sum(x.label == x.prediction for x in got if x.fold == r.fold) / sum(x.fold == r.fold for x in got)) < 1e-9 for r in got)
+
+
 def test_natural_order_ranks_all_recordings(spark, tmp_path):
     import datetime
 
