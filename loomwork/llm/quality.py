@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._learn import fold_of, labelled_sample
+from loomwork.llm._learn import fitted, fold_of, in_fold, labelled_sample
 from loomwork.llm._spark import doc_text, pieces, table
 from loomwork.llm._text import U64, Words, buffers, split_words
 
@@ -145,11 +145,15 @@ class FactorisationMachine:
         return self
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, folds: int = 5, held_out: int = 0) -> FactorisationMachine:
-    """Fitted on at most ``2 * per_class`` labelled rows outside the held-out fold; without labels it scores 0.5."""
-    rows = labelled_sample(docs, labels, "quality", fold_of(F.col("doc_id"), folds) != held_out, per_class)
-    model = FactorisationMachine()
-    return model.fit([r[1] for r in rows], np.array([r[2] for r in rows], float)) if rows else model
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, folds: int = 5, held_out: int = 0, most_bytes: int = 64 << 20) -> FactorisationMachine:
+    """Fitted, in one task, on at most ``2 * per_class`` labelled rows and ``most_bytes`` of text outside the held-out fold; without labels it scores 0.5."""
+    sample = labelled_sample(docs, labels, "quality", fold_of(F.col("doc_id"), folds) != held_out, per_class)
+
+    def fit(texts: list[bytes], y: list[int]) -> FactorisationMachine:
+        model = FactorisationMachine()
+        return model.fit(texts, np.array(y, float)) if texts else model
+
+    return fitted(sample, fit, most_bytes)
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,4 +175,4 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "d
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -16,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._learn import fold_of, give_back_memory, labelled_sample
-from loomwork.llm._spark import doc_text, pieces, table
+from loomwork.llm._learn import fitted, fold_of, in_fold, labelled_sample
+from loomwork.llm._spark import bounded_batches, doc_text, pieces, table
 from loomwork.llm._text import U64, Words, buffers, mix, split_words
 
 WINDOW, STRIDE = 48, 32
 WORD_BUCKETS, GRAM_BUCKETS, GRAM = 1 << 16, 1 << 15, 4
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
+PIECE = 1 << 20  # bytes of text that are scored together
 CHUNK = 4096  # windows that run through the network together
+SURE = 2.5  # standard errors that a bucket's log-odds must have to be where its vector starts
+OFTEN = 5  # labelled texts that must have another bucket for training to move its vector
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -201,8 +204,8 @@ class ToxicityNetwork:
             return np.full(len(offsets) - 1, 0.0)
         return 1 / (1 + np.exp(-np.clip(self.scale * self.text_logits(data, offsets) + self.shift, -40, 40)))
 
-    def _start(self, y: np.ndarray, text_of_word: np.ndarray, index: np.ndarray, word: np.ndarray, gram: np.ndarray, at: np.ndarray) -> None:
-        """Log-odds of the texts that have a bucket or a 4-gram, towards 0 for rare ones, as first vectors."""
+    def _start(self, y: np.ndarray, text_of_word: np.ndarray, index: np.ndarray, word: np.ndarray, gram: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Log-odds of the texts that have a bucket or a 4-gram, where they are sure, as first vectors; returns what training may move."""
         size = np.diff(at)
         seen = {"word": np.zeros((2, WORD_BUCKETS)), "gram": np.zeros((2, GRAM_BUCKETS))}
         bounds = np.searchsorted(text_of_word, np.arange(len(y) + 1))
@@ -211,10 +214,14 @@ class ToxicityNetwork:
             seen["word"][int(y[i] > 0), np.unique(word[own])] += 1
             spots = np.repeat(at[:-1][own], size[own]) + np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
             seen["gram"][int(y[i] > 0), np.unique(gram[spots])] += 1
+        learn = []
         prior, bad, good = y.mean(), (y > 0).sum() + 1, (y == 0).sum() + 1
         for column, (own_table, (clean, toxic)) in enumerate(((self.word, seen["word"]), (self.gram, seen["gram"]))):
             odds = np.log((toxic + 8 * prior + 0.02) / bad / ((clean + 8 * (1 - prior) + 0.02) / good))
-            own_table[:, column] += 0.5 * np.clip(odds, -2, 4).astype(np.float32)
+            sure = np.abs(odds) >= SURE * np.sqrt(1 / (toxic + 8 * prior + 0.02) + 1 / (clean + 8 * (1 - prior) + 0.02))
+            own_table[:, column] += 0.5 * np.where(sure, np.clip(odds, -2, 4), 0).astype(np.float32)
+            learn.append((sure | (toxic + clean >= OFTEN)).astype(np.float32))
+        return learn
 
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 8, rate: float = 0.02, batch: int = 256, seed: int = 11) -> "ToxicityNetwork":
         """Adam on the highest window of each text, and as many others of texts that are not toxic, both classes weighing the same."""
@@ -228,7 +235,7 @@ class ToxicityNetwork:
         counts = words.counts
         text, start, length = windows(counts)
         del words, data
-        self._start(y, np.repeat(np.arange(len(texts), dtype=np.int32), counts), index, word, gram, at)
+        learn_word, learn_gram = self._start(y, np.repeat(np.arange(len(texts), dtype=np.int32), counts), index, word, gram, at)
         x = self.inputs(word, gram, at)
         evidence = np.concatenate([[0], np.cumsum(np.maximum(x[:, 0] + x[:, 1], 0)[index] ** 2)])
         logits = evidence[start + length] - evidence[start]
@@ -265,9 +272,9 @@ class ToxicityNetwork:
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     self.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-                for rows, grad, memory, own_table in ((word[used], dx, g_word, self.word), (grams, np.repeat(dx / count[:, None], count, 0), g_gram, self.gram)):
+                for rows, grad, memory, own_table, learn in ((word[used], dx, g_word, self.word, learn_word), (grams, np.repeat(dx / count[:, None], count, 0), g_gram, self.gram, learn_gram)):
                     np.add.at(memory, rows, (grad**2).mean(1))
-                    np.add.at(own_table, rows, -0.05 * grad / np.sqrt(memory[rows])[:, None])
+                    np.add.at(own_table, rows, -0.05 * grad * (learn[rows] / np.sqrt(memory[rows]))[:, None])
         self.fitted = True
         logits = self.window_logits(self.inputs(word, gram, at), index, start, length)
         self._calibrate(np.maximum.reduceat(logits, first).astype(float), y[full])
@@ -291,16 +298,15 @@ class ToxicityNetwork:
         self.scale, self.shift = a / spread, b - a * middle / spread
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, folds: int = 3, held_out: int = 1) -> ToxicityNetwork:
-    """Fitted on at most ``2 * per_class`` labelled rows outside the held-out fold; without labels of both kinds it scores 0."""
-    rows = labelled_sample(docs, labels, "toxic", fold_of(F.col("doc_id"), folds) != held_out, per_class)
-    y = np.array([r[2] for r in rows], float)
-    if len(set(y.tolist())) < 2:
-        return ToxicityNetwork()
-    model = ToxicityNetwork().fit([r[1] for r in rows], y)
-    del rows
-    give_back_memory()
-    return model
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, folds: int = 3, held_out: int = 1, most_bytes: int = 64 << 20) -> ToxicityNetwork:
+    """Fitted, in one task, on at most ``2 * per_class`` labelled rows and ``most_bytes`` of text outside the held-out fold; without labels of both kinds it scores 0."""
+    sample = labelled_sample(docs, labels, "toxic", fold_of(F.col("doc_id"), folds) != held_out, per_class)
+
+    def fit(texts: list[bytes], y: list[int]) -> ToxicityNetwork:
+        model = ToxicityNetwork()
+        return model.fit(texts, np.array(y, float)) if len(set(y)) > 1 else model
+
+    return fitted(sample, fit, most_bytes)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,20 +319,25 @@ def score_toxicity(docs: DataFrame, model: ToxicityNetwork, id_col: str = "doc_i
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", PIECE):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(*buffers(part.column(1))))], ["doc_id", "score"])
 
     return doc_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with all their columns.  Rows are scored where they are: no shuffle."""
+    """The rows of ``docs`` that score under ``threshold``, with all their columns.  Rows are scored where they are: no shuffle.
+
+    A null, empty or blank text scores 0 and stays; null ids and repeated rows are scored like any other
+    row; an empty table gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
     text = docs.schema.names.index(text_col)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, text_col, 2 << 20):
+            for part in pieces(batch, text_col, PIECE):
                 score = model.value.score(*buffers(part.column(text)))
                 yield part.filter(pa.array(score < threshold))
 
@@ -336,4 +347,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
