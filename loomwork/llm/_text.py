@@ -78,7 +78,7 @@ class Words:
         return np.diff(self.offsets)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, block: int = 250_000) -> Words:
     """Hashed words of every text.  ``block`` bounds the bytes for which temporary arrays are held."""
     hashes, starts, ends = [], [], []
     n = len(data)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import setsketch
-from loomwork.llm._spark import doc_text, pieces, settle, table
+from loomwork.llm._spark import discard, doc_text, pieces, settle, table
 from loomwork.llm._text import U64, buffers, mix, shingles, split_words
 from loomwork.llm.components import components
 
@@ -99,11 +99,12 @@ def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
 
 
 def _verified(pairs: DataFrame, payload: DataFrame, threshold: float, registers: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that reach the threshold."""
+    """Those of the pairs ``(a, b, ...)`` that reach the threshold."""
     one, two = (payload.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "registers", "elements"))) for k in "ab")
     near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6
     rows = pairs.join(one, "a").join(two, "b").where(near)
     least = _least(threshold, registers)
+    columns = pairs.columns
 
     def run(batches):
         for batch in batches:
@@ -115,16 +116,21 @@ def _verified(pairs: DataFrame, payload: DataFrame, threshold: float, registers:
             likely = np.flatnonzero(setsketch.jaccard(*sketch, *size) >= least)
             sets = [_bytes(col[f"elements_{k}"].take(pa.array(likely)), U64) for k in "ab"]
             good = likely[[_similar(x, y, threshold) for x, y in zip(*sets)]] if len(likely) else likely
-            yield pa.RecordBatch.from_arrays([col[k].take(pa.array(good)) for k in "ab"], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([col[k].take(pa.array(good)) for k in columns], columns)
 
-    return rows.select("a", "b", *(f"{c}_{k}" for c in ("n", "registers", "elements") for k in "ab")).mapInArrow(run, "a long, b long")
+    return rows.select(*columns, *(f"{c}_{k}" for c in ("n", "registers", "elements") for k in "ab")).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
 def _within_blocks(threshold: float, registers: int):
+    """Links between the labels of a task's documents, one for each two components that it connects.
+
+    Registers agree at least as often as sets do, so that pairs whose registers agree less than the
+    bound of the estimate by 0.1 are not estimated.
+    """
     least = _least(threshold, registers)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, label, n = (rows[c].to_numpy() for c in ("doc_id", "label", "n"))
+        label, n = rows["label"].to_numpy(), rows["n"].to_numpy()
         left, right = np.flatnonzero(rows["left"].to_numpy()), np.flatnonzero(rows["right"].to_numpy())
         sketch = np.stack([np.frombuffer(x, np.uint8) for x in rows["registers"]])
         root = {x: x for x in set(label.tolist())}
@@ -147,22 +153,34 @@ def _within_blocks(threshold: float, registers: int):
                 p, q = find(label[i]), find(label[k])
                 if p != q and _similar(mine, np.frombuffer(rows["elements"].iat[k], U64), threshold):
                     root[p] = q
-                    out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    out.append((label[i], label[k]))
+        return pd.DataFrame(out, columns=["la", "lb"], dtype="int64")
 
     return run
 
 
-def _block_links(members: DataFrame, labels: DataFrame, payload: DataFrame, threshold: float, registers: int) -> DataFrame:
-    """Links between components within clusters of large buckets ``(bucket, hub, doc_id)``."""
-    cluster = components(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
-    rows = cluster.select(F.col("node").alias("doc_id"), F.col("component_id").alias("cluster")).join(labels, "doc_id").join(payload.select("doc_id", "n"), "doc_id")
+def _clusters(members: DataFrame) -> DataFrame:
+    """``(doc_id, label, cluster)`` of the documents of ``(bucket, hub, doc_id, label)``: buckets with a document in common are one cluster.
+
+    Only hubs are linked, each document's smallest with its others; it has one a band at most.
+    """
+    own = settle(members.groupBy("doc_id").agg(F.min("hub").alias("own"), F.collect_set("hub").alias("hubs"), F.any_value("label").alias("label")))
+    found = components(own.select(F.col("own").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct())
+    return own.join(found, own["own"] == found["node"], "left").select("doc_id", "label", F.coalesce("component_id", "own").alias("cluster"))
+
+
+def _block_links(members: DataFrame, payload: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """Links ``(la, lb)`` between the labels of documents within clusters of large buckets ``(bucket, hub, doc_id, label)``.
+
+    What is joined with a cluster's documents is settled first, so that the join can split a large cluster.
+    """
+    rows = settle(_clusters(members).join(payload.select("doc_id", "n"), "doc_id"))
     sizes = rows.groupBy("cluster", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
+    main = settle(sizes.groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("m")).select("cluster", F.col("m.label").alias("main")))
     # ln n / ln (1/t): sets that reach the threshold t are in the same class or the next one
-    rows = rows.join(main, "cluster").select("*", (F.col("label") != F.col("main")).alias("stray"), F.floor(F.log("n") / F.lit(-math.log(threshold))).alias("cls"))
+    rows = settle(rows.join(main, "cluster").select("doc_id", "label", "cluster", (F.col("label") != F.col("main")).alias("stray"), F.floor(F.log("n") / F.lit(-math.log(threshold))).alias("cls")))
     group = ["cluster", "stray", "cls"]
-    cuts = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
+    cuts = settle(rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts")))
     rows = settle(rows.join(cuts, group).select("doc_id", "label", *group, F.pmod(F.xxhash64("doc_id"), "cuts").alias("cut")))
     blocks = cuts.select(*group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
     x, y = (blocks.select("cluster", *(F.col(c).alias(f"{c}_{k}") for c in ("stray", "cls", "cut"))) for k in "xy")
@@ -173,7 +191,7 @@ def _block_links(members: DataFrame, labels: DataFrame, payload: DataFrame, thre
     left = pairs.select("pair", "cluster", F.lit(True).alias("stray"), F.col("cls_x").alias("cls"), F.col("cut_x").alias("cut"), F.lit(True).alias("left"), same.alias("right"))
     right = pairs.where(~same).select("pair", "cluster", F.col("stray_y").alias("stray"), F.col("cls_y").alias("cls"), F.col("cut_y").alias("cut"), F.lit(False).alias("left"), F.lit(True).alias("right"))
     tasks = left.unionByName(right).join(rows, [*group, "cut"]).select("pair", "doc_id", "label", "left", "right").join(payload, "doc_id")
-    return tasks.groupBy("pair").applyInPandas(_within_blocks(threshold, registers), "a long, b long")
+    return tasks.groupBy("pair").applyInPandas(_within_blocks(threshold, registers), "la long, lb long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,26 +215,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         .agg(F.min("doc_id").alias("doc_id"), F.any_value("registers").alias("registers"))
     )
     buckets = classes.select("doc_id", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(registers, i * {rows} + 1, {rows})))")).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    # settled, as is what is joined by key below, so that the join can split a bucket of very many documents
+    shared = settle(buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
     members = settle(buckets.join(shared, "bucket"))
+    discard(shared)
     payload = settle(_payload(docs, members.select("doc_id").distinct(), width, registers, id_col, text_col).dropDuplicates(["doc_id"]))
     stars = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = settle(_verified(stars, payload, threshold, registers))
-    found = components(links)
-    label = lambda: F.coalesce("component_id", "doc_id").alias("label")
-    labels = settle(members.select("doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", label()))
-    seen = members.join(labels, "doc_id")
-    apart = seen.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    found = components(_verified(stars, payload, threshold, registers))
+    labels = found.select(F.col("node").alias("doc_id"), F.col("component_id").alias("label"))
+    seen = settle(members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+    discard(members)
+    apart = settle(seen.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"))
     open_ = settle(seen.join(apart, "bucket", "left_semi"))
+    discard(seen), discard(apart)
     small = open_.where(F.col("size") <= SMALL)
     one = small.select("bucket", "hub", F.col("doc_id").alias("a"), F.col("label").alias("la"))
     two = small.select("bucket", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    pairs = one.join(two, "bucket").where("a < b AND la <> lb AND a <> hub").select("a", "b").distinct()
-    links = links.unionByName(_verified(pairs, payload, threshold, registers))
+    pairs = one.join(two, "bucket").where("a < b AND la <> lb AND a <> hub").select("a", "b", "la", "lb").distinct()
+    more = _verified(pairs, payload, threshold, registers).select("la", "lb")
     large = open_.where(F.col("size") > SMALL)
     if not large.isEmpty():
-        links = links.unionByName(_block_links(large, labels, payload, threshold, registers))
-    found = components(links)
+        more = more.unionByName(_block_links(large, payload, threshold, registers))
+    # what is left to connect are the components found so far
+    joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    found = found.join(joined.select(F.col("node").alias("component_id"), F.col("component_id").alias("joined")), "component_id", "left").select("node", F.coalesce("joined", "component_id").alias("component_id"))
+    alone = joined.join(labels, joined["node"] == labels["doc_id"], "left_anti")  # components of one document so far
+    found = found.unionByName(alone)
+    discard(payload), discard(open_)
     answer = classes.join(found, F.col("doc_id") == F.col("node"), "left").select("k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = base.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("k1")).alias("k1"), "k2").join(answer, ["k1", "k2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
