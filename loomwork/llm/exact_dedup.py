@@ -4,12 +4,15 @@
 buckets of four slots, and beside each the full digest and its record.  A probe
 that hits a fingerprint is verified against the content of that slot; an insert
 that finds no room after a bounded number of evictions doubles the table and
-resettles it from the stored digests; a deletion clears the slot of the
-verified digest.
+resettles it from the stored digests, as often as it takes; a deletion clears the slot of the
+verified digest.  Digests that share buckets and fingerprint with many others, which
+no size of the table would part, are kept beside it.
 
-``exact_dedup`` runs the index twice: over each input partition, so that a
+``exact_dedup`` hashes every text once and runs the index twice: over each input partition, so that a
 group of any size leaves one row (digest, largest id, count) a task, and, after
-a shuffle of those rows by digest, over each partition of digests.  A join by
+a shuffle of those rows by digest, over each partition of digests.  An index holds
+``LIVE_A_TASK`` digests at most in the first run, and about as many in the second, for which the digests
+are dealt out by their number.  A join by
 digest brings the outcome back to the documents; its rows are an id and a
 digest, and a large group is split by the adaptive skew join.
 """
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 from loomwork.llm._spark import doc_text, pieces, settle, table
 
+LIVE_A_TASK = 1 << 17
+
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -37,6 +42,7 @@ class CuckooIndex:
     def __init__(self, buckets: int = 1024):
         self._size(1 << max(1, (buckets - 1).bit_length()))
         self.live = 0
+        self.rest: dict = {}
 
     def _size(self, buckets: int) -> None:
         self.mask = buckets - 1
@@ -59,19 +65,22 @@ class CuckooIndex:
 
     def get(self, digest: bytes):
         slot = self._slot(digest)
-        return None if slot < 0 else self.content[slot][1]
+        return self.rest.get(digest) if slot < 0 else self.content[slot][1]
 
     def insert(self, digest: bytes, record) -> None:
         """The digest must not be live."""
         self.live += 1
-        left = self._settle((digest, record))
-        while left is not None:  # overflow: twice the buckets, filled from the stored digests
-            stored = [x for x in self.content if x is not None] + [left]
+        waiting = [(digest, record)]
+        while waiting:
+            left = self._settle(waiting.pop())
+            if left is None:
+                continue
+            if self.live * 16 < len(self.content):  # more room would not part digests that share both buckets
+                self.rest[left[0]] = left[1]
+                continue
+            # overflow: twice the buckets, filled from the stored digests; those still waiting are stored, too
+            waiting += [x for x in self.content if x is not None] + [left]
             self._size(2 * (self.mask + 1))
-            left = None
-            for x in stored:
-                if (left := self._settle(x)) is not None:
-                    break
 
     def _settle(self, entry: tuple):
         """The entry that found no room, or None.  Evictions are undone then, so that nothing is lost."""
@@ -104,14 +113,17 @@ class CuckooIndex:
         """The record that was live, or None."""
         slot = self._slot(digest)
         if slot < 0:
-            return None
+            record = self.rest.pop(digest, None)
+            self.live -= record is not None
+            return record
         record = self.content[slot][1]
         self.marks[slot], self.content[slot] = 0, None
         self.live -= 1
         return record
 
     def items(self) -> Iterator[tuple]:
-        return (x for x in self.content if x is not None)
+        yield from (x for x in self.content if x is not None)
+        yield from self.rest.items()
 
 
 def _digests(texts: pa.Array) -> pa.Array:
@@ -129,8 +141,20 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return doc_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest binary")
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """One index over each partition of ``(digest, keep_id, group_size)``; a group_size of 0 deletes the digest."""
+def _merged(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """One index over each partition of ``(digest, keep_id, group_size)``; a group_size of 0 deletes the digest.
+
+    An index of ``most`` digests is emptied and begun anew, so that a digest may be in several rows.
+    """
+
+    def emptied(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+        left = list(index.items())
+        for at in range(0, len(left), 8192):
+            part = left[at : at + 8192]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in part], pa.binary()), pa.array([x[1][0] for x in part], pa.int64()), pa.array([x[1][1] for x in part], pa.int64())],
+                ["digest", "keep_id", "group_size"],
+            )
 
     def run(batches):
         index = CuckooIndex()
@@ -147,15 +171,12 @@ def _merged(rows: DataFrame) -> DataFrame:
                     if keep is not None and (record[0] is None or keep > record[0]):
                         record[0] = keep
                     record[1] += size
+            if most and index.live >= most:
+                yield from emptied(index)
+                index = CuckooIndex()
         for digest in gone:
             index.delete(digest)
-        left = list(index.items())
-        for at in range(0, len(left), 8192):
-            part = left[at : at + 8192]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in part], pa.binary()), pa.array([x[1][0] for x in part], pa.int64()), pa.array([x[1][1] for x in part], pa.int64())],
-                ["digest", "keep_id", "group_size"],
-            )
+        yield from emptied(index)
 
     return rows.mapInArrow(run, "digest binary, keep_id long, group_size long")
 
@@ -165,10 +186,11 @@ def live_index(found: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
 
     ``found`` has ``(doc_id, digest)``, ``deleted`` digests that are to go, whichever documents have them.
     """
-    rows = _merged(found.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
+    rows = settle(_merged(found.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), LIVE_A_TASK))
+    parts = -(-rows.count() // LIVE_A_TASK) or 1
     if deleted is not None:
-        rows = rows.unionByName(deleted.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size")))
-    return _merged(rows.repartition("digest"))
+        rows = rows.unionByName(deleted.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size")).distinct())
+    return _merged(rows.repartition(parts, "digest"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +201,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other, and rows that share the largest id (repeated rows) all stay.  An empty
     table gives an empty result; other columns are not read.
     """
-    found = digests(docs, id_col, text_col)
+    found = settle(digests(docs, id_col, text_col))
     return found.join(live_index(found), "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 

@@ -3,8 +3,9 @@
 Lines are exploded as the hashes of their keys, each key once a row; a
 count by hash finds the keys of many rows, partial counts being summed
 before the shuffle, so that a line that every document has costs one row a task.  Only for
-these the distinct documents are counted.  On
-their way to the frequent keys the documents of a key are salted.  Where frequent keys occur, they return to their documents as one array of hashes a
+these the distinct documents are counted.  The keys of many rows and those of many documents are
+settled before they meet the lines, so that the join can split the documents of a key in
+as many tasks as their number asks for.  Where frequent keys occur, they return to their documents as one array of hashes a
 document, and the text is filtered and joined again in the order of its lines.
 A text crosses the network once, and only beside the frequent keys of its own.
 """
@@ -16,9 +17,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm._spark import table
+from loomwork.llm._spark import settle, table
 
-SALTS = 32  # parts of a key's documents on their way to the frequent keys
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -56,14 +56,17 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     one document; rows with a null id count as none, but lose their lines, too.  An empty table gives
     an empty result; other columns are not read.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    maybe = frequent_keys(rows, min_docs, min_chars).withColumn("salt", salts)
-    lines = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), F.explode(F.transform(_keys(F.col("text"), min_chars), key_hash)).alias("k"))
-    pairs = lines.join(maybe, ["k", "salt"], "left_semi").distinct()
-    often = pairs.groupBy("k").agg(F.count("doc_id").alias("n")).where(F.col("n") >= min_docs).select("k").withColumn("salt", salts)
-    hits = pairs.join(often, ["k", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("k").alias("hits"))
-    whole = rows.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    own = F.when(docs[id_col].isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))  # tells rows without an id apart
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), own.alias("own"), text.alias("text"))
+    maybe = settle(frequent_keys(rows, min_docs, min_chars))
+    lines = rows.select("doc_id", "own", F.explode(F.transform(_keys(F.col("text"), min_chars), key_hash)).alias("k"))
+    pairs = settle(lines.join(maybe, "k", "left_semi"))
+    often = pairs.where("doc_id IS NOT NULL").select("k", "doc_id").distinct().groupBy("k").agg(F.count("*").alias("n"))
+    often = settle(often.where(F.col("n") >= min_docs).select("k"))
+    hits = pairs.join(often, "k", "left_semi").groupBy("doc_id", "own").agg(F.collect_set("k").alias("hits"))
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("own").alias("hit_own"), "hits")
+    whole = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own") == F.col("hit_own")), "left")
     parts = F.split("text", "\n")
     left = F.filter(parts, lambda x: ~F.array_contains(F.col("hits"), key_hash(line_key(fold(x)))))
     return (

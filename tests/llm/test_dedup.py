@@ -1,12 +1,15 @@
 import collections
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
+from loomwork.llm import components as components_module
+from loomwork.llm import exact_dedup as exact_dedup_module
 from loomwork.llm import minhash
 from loomwork.llm.components import components
 from loomwork.llm.exact_dedup import CuckooIndex, digests, exact_dedup, keep_exact, live_index
-from loomwork.llm.line_dedup import line_dedup
+from loomwork.llm.line_dedup import OP3_SQL, line_dedup
 from loomwork.llm.minhash import keep_one_of_near, near_duplicates
 from loomwork.llm.suffix_dedup import extended, repeated_passages
 
@@ -35,6 +38,29 @@ def test_cuckoo_index_with_equal_marks():
     assert [index.get(k) for k in keys] == list(range(6))
 
 
+def test_cuckoo_index_loses_nothing_when_resettling_overflows():
+    """Digests of a few buckets and marks, as hard to place as it gets, in indexes of a few buckets."""
+    rng = random.Random(6)
+    for trial in range(300):
+        index, live = CuckooIndex(2), {}
+        for i in range(rng.randint(10, 80)):
+            digest = bytes([rng.randrange(4), rng.randrange(2)]) + b"\0" * 6 + bytes([1 + rng.randrange(3), 0]) + i.to_bytes(6, "little")
+            index.insert(digest, i)
+            live[digest] = i
+            if rng.random() < 0.2:
+                gone = rng.choice(list(live))
+                assert index.delete(gone) == live.pop(gone)
+        assert dict(index.items()) == live and index.live == len(live)
+        assert all(index.get(k) == v for k, v in live.items())
+
+
+def test_index_of_many_tasks(docs, rows, monkeypatch):
+    """Indexes that are emptied on the way and digests over many tasks give the same groups."""
+    expected = sorted(map(tuple, exact_dedup(docs).select("doc_id", "keep_id", "group_size").collect()))
+    monkeypatch.setattr(exact_dedup_module, "LIVE_A_TASK", 5)
+    assert sorted(map(tuple, exact_dedup(docs).select("doc_id", "keep_id", "group_size").collect())) == expected
+
+
 def test_exact_dedup_matches_brute_force(docs, rows):
     groups = collections.defaultdict(list)
     for i, text, *_ in rows:
@@ -87,6 +113,22 @@ def test_line_dedup_counts_documents_not_rows(spark):
     assert got == sorted((str(i), int("ten" in t), t.replace("ten\n", "")) for i, t in rows)
 
 
+def test_line_dedup_agrees_with_its_sql_on_repeated_rows(spark):
+    """Nine documents and one repeated row of them: the line stays, as count(DISTINCT doc_id) has it."""
+    import duckdb
+
+    rows = [(i, f"nine\nten\nOwn {i}") for i in range(9)] + [(9, " TEN\nother"), (10, None), (11, "")]
+    twice = rows + [rows[4]]
+    got = {(r.doc_id, r.n_dropped, r.text) for r in line_dedup(spark.createDataFrame(twice, "doc_id long, text string")).collect()}
+    assert {(i, n) for i, n, _ in got} == {(i, int(i < 10)) for i in range(12)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", twice)
+    kept = {i: hashlib.sha256(t.encode()).hexdigest() for i, _, t in got}
+    for i, _, _, sha in con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({OP3_SQL})").fetchall():
+        assert i == 4 or kept[i] == sha  # the SQL takes the lines of equal ids together
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (200, 202), (7, 7)]
     got = {r.node: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -94,6 +136,36 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    """Chains, stars with large and small centres and random links, dealt over many tasks; nodes may be structs."""
+    monkeypatch.setattr(components_module, "LINKS_A_TASK", 50)
+    rng = random.Random(8)
+    order = list(range(1000, 1300))
+    rng.shuffle(order)
+    links = list(zip(order, order[1:])) + [(5000, i) for i in range(4000, 4200)] + [(1, i) for i in range(2000, 2200)]
+    links += [(rng.randint(6000, 6400), rng.randint(6000, 6400)) for _ in range(300)] + [(None, 3), (9, 9)]
+    parent = {x: x for pair in links[:-2] for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links[:-2]:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    touched = {x for a, b in links[:-2] if a != b for x in (a, b)}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    assert {r.node: r.component_id for r in components(frame).collect()} == {x: find(x) for x in touched}
+    node = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c) % 10).alias("k"), (F.col(c) - 3000).alias("at"))).alias(c)
+    groups = collections.defaultdict(set)
+    for r in components(frame.select(node("a"), node("b"))).collect():
+        groups[tuple(r.component_id)].add(tuple(r.node))
+    expected = collections.defaultdict(set)
+    for x in touched:
+        expected[find(x)].add((x % 10, x - 3000))
+    assert dict(groups) == {min(g): g for g in expected.values()}
+
+
 def brute_components(rows, width):
     sets = {}
     for i, t, *_ in rows:
@@ -136,8 +208,6 @@ def test_keep_one_of_near(docs, rows):
 
 
 def test_repeated_passages_match_brute_force(spark, nothing):
-    import random
-
     rng = random.Random(2)
     fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
     shared = [fresh(n) for n in (50, 60, 120, 49, 300)]
