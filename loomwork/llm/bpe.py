@@ -6,7 +6,7 @@ neighbours enter the queue, and entries whose symbols have changed meanwhile
 are skipped when they come up.  Decoding joins the vocabulary's strings.
 
 Pieces do not reach over white space, so the ids of a word between white space are
-kept for the next time it comes up, in a table of bounded size.
+kept for the next time it comes up, in a table of bounded size; very long words are not kept.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from loomwork.llm._spark import doc_text, pieces, table
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUN = regex.compile(f"[{_SPACE}]+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")  # white space to str.split(), not to the vocabulary
-KNOWN = 150_000
+KNOWN, LONGEST = 150_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -41,7 +41,7 @@ def byte_letters() -> list[str]:
 
 
 class Recent:
-    """The last ``size`` to twice ``size`` keys that were put or found."""
+    """The last ``size`` to twice ``size`` keys of up to ``LONGEST`` characters that were put or found."""
 
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
@@ -53,6 +53,8 @@ class Recent:
         return found
 
     def put(self, key, value) -> None:
+        if len(key) > LONGEST:
+            return
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
@@ -117,14 +119,18 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = np.array(self.merge(piece.encode("utf-8")), "<u4").tobytes()
+            found = self._ids(piece)
             self.pieces.put(piece, found)
         return found
 
+    def _ids(self, piece: str) -> bytes:
+        return np.array(self.merge(piece.encode("utf-8")), "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = b"".join(map(self._piece, self.pattern.findall(word)))
+            parts = self.pattern.findall(word)
+            found = b"".join(map(self._piece, parts)) if len(parts) > 1 else b"".join(map(self._ids, parts))
             self.words.put(word, found)
         return found
 

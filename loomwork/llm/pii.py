@@ -5,9 +5,10 @@ add candidates that base patterns miss (an address written with "[at]", a
 number with dots or without its country code).  Labelers vote on every candidate:
 its pattern, a strict shape, a gazetteer, the words before it, and
 its check digits or value ranges.  Candidates are counted by kind and votes over all
-documents; expectation-maximisation on these counts (a few hundred rows at
-most) estimates how reliable each labeler is and how likely each pattern of votes,
-and a logistic classifier trained on these likelihoods decides which spans are added.
+documents, together with what a span looks like and stands in (characters beside it, length, context of
+other kinds); expectation-maximisation on the counts of votes estimates how reliable each labeler is and how
+likely each pattern of votes, and a logistic classifier of votes, span and context, trained on these
+likelihoods, decides which spans are added.
 Base spans always stay.
 """
 
@@ -126,6 +127,11 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, "+").otherwise(F.lit("0") if no is None else F.when(no, "-").otherwise("0"))
 
 
+def _beside(c: Column) -> Column:
+    """Class of the character beside a span: a blank or none, a letter or digit, or another mark."""
+    return F.when(F.coalesce(c, F.lit("")).rlike("^\\s?$"), "s").when(c.rlike("[\\p{L}\\p{N}]"), "w").otherwise("p")
+
+
 def _candidates(text: Column, kind: str, base: Column, broad: Column, every_base: Column) -> Column:
     """Spans with the pattern of votes on each; broad ones only where no base span of any kind is."""
     apart = F.filter(broad, lambda c: ~F.exists(every_base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
@@ -140,7 +146,18 @@ def _candidates(text: Column, kind: str, base: Column, broad: Column, every_base
             _vote(before.rlike(_CONTEXT[kind])),
             _vote(_valid(kind, m), F.lit(True)),
         ]
-        return F.struct(span["s"].alias("s"), span["e"].alias("e"), F.lit(is_base).alias("base"), F.concat(F.lit(kind + ":"), *votes).alias("votes"))
+        other = F.lit(False)
+        for k in KINDS:
+            if k != kind:
+                other = other | before.rlike(_CONTEXT[k])
+        size = F.char_length(m)
+        marks = [
+            _beside(F.when(span["s"] > 0, F.substring(text, span["s"], F.lit(1)))),
+            _beside(F.substring(text, span["e"] + 1, F.lit(1))),
+            F.when(size <= 12, "1").when(size <= 18, "2").otherwise("3"),
+            F.when(other, "o").otherwise("-"),
+        ]
+        return F.struct(span["s"].alias("s"), span["e"].alias("e"), F.lit(is_base).alias("base"), F.concat(F.lit(kind + ":"), *votes, F.lit("/"), *marks).alias("votes"))
 
     return F.concat(F.transform(base, lambda x: judged(x, True)), F.transform(apart, lambda x: judged(x, False)))
 
@@ -182,15 +199,27 @@ def reliabilities(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     return real
 
 
-def _features(votes: str) -> list[float]:
-    return [1.0, *(float(v == "+") - float(v == "-") for v in votes), float(votes[1:].count("+") >= 3), float("-" in votes[1:])]
+def _features(pattern: str) -> list[float]:
+    """Of a pattern ``votes/marks``: the votes, how they agree, and the span's own marks."""
+    votes, marks = pattern.split("/")
+    left, right, size, other = marks
+    return [
+        1.0,
+        *(float(v == "+") - float(v == "-") for v in votes),
+        float(votes[1:].count("+") >= 3),
+        float("-" in votes[1:]),
+        *(float(side == c) for side in (left, right) for c in "wp"),
+        float(size == "2"),
+        float(size == "3"),
+        float(other == "o"),
+    ]
 
 
 def span_classifier(counts: dict[str, int], real: dict[str, float], rounds: int = 400, rate: float = 0.5) -> list[float]:
-    """Weights of a logistic classifier of vote patterns, trained on likelihoods, each pattern weighing the root of its count."""
-    rows = [(_features(v), real[v], math.sqrt(n)) for v, n in sorted(counts.items())]
+    """Weights of a logistic classifier of patterns ``votes/marks``, trained on the votes' likelihoods, each pattern weighing the root of its count."""
+    rows = [(_features(p), real[p.split("/")[0]], math.sqrt(n)) for p, n in sorted(counts.items())]
     total = sum(r[2] for r in rows) or 1.0
-    w = [0.0] * (VOTES + 3)
+    w = [0.0] * (len(rows[0][0]) if rows else 0)
     for _ in range(rounds):
         gradient = [0.01 * x for x in w]
         for x, y, n in rows:
@@ -202,13 +231,17 @@ def span_classifier(counts: dict[str, int], real: dict[str, float], rounds: int
 
 
 def accepted(counts: dict[str, int], threshold: float = 0.5) -> list[str]:
-    """The ``kind:votes`` that the classifier takes, of those counted."""
+    """The ``kind:votes/marks`` that the classifier takes, of those counted."""
     out = []
     for kind in KINDS:
         own = {k.split(":")[1]: n for k, n in counts.items() if k.startswith(kind + ":")}
         if own:
-            w = span_classifier(own, reliabilities(own))
-            out += [f"{kind}:{v}" for v in own if 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, _features(v))))) >= threshold]
+            by_votes: dict[str, int] = {}
+            for pattern, n in own.items():
+                votes = pattern.split("/")[0]
+                by_votes[votes] = by_votes.get(votes, 0) + n
+            w = span_classifier(own, reliabilities(by_votes))
+            out += [f"{kind}:{p}" for p in own if 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, _features(p))))) >= threshold]
     return sorted(out)
 
 
@@ -222,7 +255,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     """
     judged = settle(candidates(docs, id_col, text_col))
     votes = judged.select(F.explode(F.concat(*(F.col(k) for k in KINDS))).alias("c")).groupBy("c.votes").agg(F.count("*").alias("n"))
-    counts = {r.votes: r.n for r in votes.collect()}  # at most kinds * 3 ** labelers rows
+    counts = {r.votes: r.n for r in votes.collect()}  # at most 4 kinds * 2 ** 5 votes * 54 marks rows
     taken = F.array(*map(F.lit, accepted(counts, threshold))).cast("array<string>")
     keep = lambda c: c["base"] | F.array_contains(taken, c["votes"])
     shape = lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base"))

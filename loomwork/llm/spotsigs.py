@@ -25,8 +25,7 @@ ANCHORS = (
     "el los y por con para su se del las al una"
 )
 CHAIN = 2
-REACH = 16  # common words that a chain may step over between two content words
-ROWS_A_BLOCK, MOST_BLOCKS = 2048, 10_000
+ROWS_A_BLOCK, MOST_BLOCKS = 512, 10_000
 
 
 def marked_words(text: Column) -> Column:
@@ -36,13 +35,21 @@ def marked_words(text: Column) -> Column:
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted distinct hashes of the spot signatures; of the words where there is no chain."""
+    """Sorted distinct hashes of the spot signatures; of the words where there is no chain.
+
+    A run of common words is taken as one, whatever its length, and so is what follows it: ``chain`` content words
+    and the common words between them, of any number.  Each of the run's common words then has a signature.
+    """
     words = marked_words(text)
-    step = f"(?: \\|[^ ]++){{0,{REACH}}}+ [^| ][^ ]*+"
-    chains = F.array_join(F.regexp_extract_all(words, F.lit(f"(?=(\\|[^ ]++(?:{step}){{{chain}}}))\\|"), F.lit(1)), ";")
-    spots = F.split(F.regexp_replace(chains, " \\|[^ ;]++", ""), ";")
+    following = "(?: \\|[^ ]++)*+ ([^| ][^ ]*+)" * chain
+    content = "".join(f" ${i + 2}" for i in range(chain))
+    # a line "run TAB content words" for each run that has enough of these behind it
+    lines = F.split(F.regexp_replace(words, f"((?: \\|[^ ]++)++)(?:(?={following})|)", f"\n$1\t{content}\n"), "\n")
+    runs = F.filter(lines, lambda x: F.contains(x, F.lit("\t ")) & ~F.endswith(x, F.lit(" ")))
+    spots = lambda x: F.transform(F.split(F.ltrim(F.substring_index(x, "\t", 1)), " "), lambda w: F.concat(w, F.substring_index(x, "\t", -1)))
+    found = F.flatten(F.transform(runs, spots))
     plain = F.filter(F.split(words, " "), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(F.when(chains != "", spots).otherwise(plain), lambda x: F.hash(x))))
+    return F.array_sort(F.array_distinct(F.transform(F.when(F.size(found) > 0, found).otherwise(plain), lambda x: F.hash(x))))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -93,23 +100,26 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are cut into ranges of about equal numbers of rows; a window runs over each, and
     each range has as guest the first document of the range after it.
-    Null ids come last and count as the smallest; equal ids go by text.
+    Null ids come last, cut and ordered by a hash of their texts; equal ids go by text.
     """
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), key.alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    blocks = min(MOST_BLOCKS, math.ceil(n / ROWS_A_BLOCK))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.xxhash64(text)).alias("place"), text.alias("text"))
+    counts = rows.agg(F.count("doc_id").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    blocks, null_blocks = (max(1, min(MOST_BLOCKS, math.ceil(n / ROWS_A_BLOCK))) for n in (counts.ids, counts.nulls))
     points: list[int] = []
     if blocks > 1:
         shares = [i / blocks for i in range(1, blocks)]
-        points = sorted(set(rows.agg(F.percentile_approx("key", shares, 10 * blocks).alias("p")).first().p))
-    rows = rows.withColumn("block", _block(F.col("key"), points)).withColumn("guest", F.lit(False))
-    heads = rows.groupBy("block").agg(F.max("key").alias("head"))  # MOST_BLOCKS rows at most
+        points = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10 * blocks).alias("p")).first().p))
+    block = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.col("place"), F.lit(null_blocks))).otherwise(_block(F.col("doc_id"), points))
+    rows = rows.withColumn("block", block).withColumn("guest", F.lit(False))
+    heads = rows.groupBy("block").agg(F.max("place").alias("head"))  # 2 * MOST_BLOCKS rows at most
     following = Window.orderBy(F.col("block").desc())
     whole = following.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(F.col("block").alias("host"), F.coalesce(F.lead("head").over(following), F.first("head").over(whole)).alias("guest_key"))
-    guests = rows.join(F.broadcast(heads), F.col("key") == F.col("guest_key")).select("doc_id", "key", "text", F.col("host").alias("block"), F.lit(True).alias("guest"))
-    order = Window.partitionBy("block").orderBy("guest", F.col("key").desc(), "text")
+    after = lambda c: F.coalesce(F.lead(c).over(following), F.first(c).over(whole))
+    heads = heads.select(F.col("block").alias("host"), after("block").alias("guest_block"), after("head").alias("guest_place"))
+    guests = rows.join(F.broadcast(heads), (F.col("block") == F.col("guest_block")) & (F.col("place") == F.col("guest_place")))
+    guests = guests.select("doc_id", "place", "text", F.col("host").alias("block"), F.lit(True).alias("guest"))
+    order = Window.partitionBy("block").orderBy("guest", F.col("place").desc(), "text")
     return rows.unionByName(guests).withColumn("next_text", F.lead("text").over(order)), order
 
 
@@ -120,7 +130,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the next document by descending id.  Returns doc_id, n_chars, edited_text,
     fingerprint, edited_fingerprint, near_edited, near_next.  A null text is
     empty; the only document of a table is its own next one; an empty table
-    gives an empty result; other columns are not read.
+    gives an empty result; other columns are not read.  Which fingerprints are compared is given here,
+    each document's with two others, so that there is nothing to search; ``similar_pairs``
+    searches a table by length partitions and pruned Jaccard.
     """
     rows, order = with_next_text(docs, id_col, text_col)
     rows = rows.withColumn("sigs", signatures(F.col("text"))).withColumn("next_sigs", F.lead("sigs").over(order)).where("NOT guest")

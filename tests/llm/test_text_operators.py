@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from loomwork.llm import mixing, pii, spotsigs
@@ -52,6 +53,28 @@ def test_bpe_equals_the_library(vocabulary, rows):
         assert ours.decode(got) == theirs.decode(expected, skip_special_tokens=False)
 
 
+def test_bpe_of_very_long_texts_equals_the_library(vocabulary):
+    """Whole texts, also of one word; long words are not kept in memory."""
+    from tokenizers import Tokenizer
+
+    from loomwork.llm import bpe
+
+    theirs, ours = Tokenizer.from_file(vocabulary), bpe.Codec(vocabulary)
+    rng = random.Random(3)
+    for text in ("a" * 100000, " ".join("word" + str(rng.randrange(9999)) for _ in range(30000)), "".join(rng.choice("abcdefgh") for _ in range(60000)), "é" * 70000):
+        assert ours.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert max(len(k) for table in (ours.words, ours.pieces) for part in (table.young, table.old) for k in part) <= bpe.LONGEST
+
+
+def test_bpe_of_rows_without_ids_and_repeated_rows(spark, vocabulary):
+    from loomwork.llm.bpe import round_trip_digests
+
+    rows = [(None, "one two"), (None, None), (1, "one two"), (1, "one two"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS ids", "1 AS n_tokens")
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in round_trip_digests(docs, vocabulary).collect())
+    assert [x[:2] for x in got] == [("1", 2), ("1", 2), ("2", 0), ("None", 0), ("None", 2)] and got[0][2] == got[1][2] == got[4][2]
+
+
 def test_bpe_documents(vocabulary, docs, nothing):
     from loomwork.llm.bpe import decode_documents, encode_documents, round_trip_digests
 
@@ -103,10 +126,52 @@ def test_offsets_do_not_depend_on_ranges(spark, monkeypatch):
     assert whole == sorted(map(tuple, mixing.offsets(rows, 10**6).select("doc_id", "at").collect()))
 
 
-def test_fingerprints_match_brute_force(docs, rows, nothing, monkeypatch):
+ANCHORS = set(spotsigs.ANCHORS.split())
+
+
+def spots(text, chain=2):
+    """Signatures written plainly: every common word with the content words after it; without any, the words."""
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    out = set()
+    for k, w in enumerate(words):
+        if w in ANCHORS:
+            after = [x for x in words[k + 1 :] if x not in ANCHORS][:chain]
+            if len(after) == chain:
+                out.add("|" + " ".join([w, *after]))
+    return out or {"|" + w if w in ANCHORS else w for w in words}
+
+
+def test_signatures_match_brute_force(spark):
+    rng = random.Random(9)
+    pool = ["the", "of", "que", "für", "The", "cat", "dog", "Wörd", "x1", "den", "a", "und"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    texts += ["", "cat", "the", "the of", "the cat", "cat dog", "the " * 18 + "cat " + "of " * 30 + "dog", "the cat, of\nthe;dog  x!", "the of " * 20000, "of the " * 20000 + "cat dog", "\t|the 1 2"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for chain in (1, 2, 3):
+        got = {r.i: r.s for r in frame.select("i", spotsigs.signatures(F.col("t"), chain).alias("s")).collect()}
+        for i, t in enumerate(texts):
+            if len(t) > 1000:
+                continue
+            assert got[i] == sorted(got[i]) and set(got[i]) == hashed_once(spark, spots(t, chain))
+        assert set(got[len(texts) - 2]) == (hashed_once(spark, {f"|{w} " + "cat dog"[: 3 if chain == 1 else 7] for w in ("of", "the")} if chain < 3 else {"|of", "|the", "cat", "dog"}))
+
+
+_HASHES: dict = {}
+
+
+def hashed_once(spark, words):
+    missing = [w for w in words if w not in _HASHES]
+    if missing:
+        rows = spark.createDataFrame([(w,) for w in missing], "w string").select("w", F.hash("w").alias("h")).collect()
+        _HASHES.update({r.w: r.h for r in rows})
+    return {_HASHES[w] for w in words}
+
+
+def test_fingerprints_match_brute_force(spark, docs, rows, nothing, monkeypatch):
     monkeypatch.setattr(spotsigs, "ROWS_A_BLOCK", 16)
     got = {r.doc_id: r for r in spotsigs.edited_fingerprints(docs).collect()}
     order = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     as_set = lambda s: {s[k : k + 8] for k in range(0, len(s), 8)}
     for k, (i, text, *_) in enumerate(order):
         if i == 207:
@@ -115,12 +180,24 @@ def test_fingerprints_match_brute_force(docs, rows, nothing, monkeypatch):
         cut = len(text) // 3
         assert got[i].edited_text == text[: len(text) - cut] + after[:cut]
         assert got[i].n_chars == len(text)
-        a, b = as_set(got[i].fingerprint), as_set(got[i].edited_fingerprint)
-        assert got[i].near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        own, edited, following = spots(text), spots(got[i].edited_text), spots(after)
+        assert len(as_set(got[i].fingerprint)) == len(own) and len(as_set(got[i].edited_fingerprint)) == len(edited)
+        assert got[i].near_edited == pytest.approx(likeness(own, edited))
+        assert got[i].near_next == pytest.approx(likeness(own, following))
     assert got[151].fingerprint == got[153].fingerprint == got[152].fingerprint
     assert spotsigs.edited_fingerprints(nothing).count() == 0
 
 
+def test_fingerprints_of_rows_without_ids(spark, monkeypatch):
+    """Each of 100 rows without an id, over several ranges, and of five with one is the next text of one other row."""
+    monkeypatch.setattr(spotsigs, "ROWS_A_BLOCK", 8)
+    rows = [(None, f"text number {i} of the large cat dog") for i in range(100)] + [(None, None)] + [(i, f"own {i}") for i in range(5)]
+    frame, _ = spotsigs.with_next_text(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS place", "2 AS block", "3 AS guest"))
+    got = [r for r in frame.collect() if not r.guest]
+    assert sorted(r.next_text for r in got) == sorted(r.text for r in got) == sorted(t or "" for _, t in rows)
+    assert {r.doc_id: r.next_text for r in got if r.doc_id} == {4: "own 3", 3: "own 2", 2: "own 1", 1: "own 0"}
+
+
 def test_similar_fingerprints_are_all_found(docs):
     sets = {r.doc_id: frozenset(r.s) for r in docs.select("doc_id", spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).collect()}
     first = {}
@@ -165,6 +242,58 @@ def test_pii_keeps_all_base_spans_and_adds_likely_ones(spark, nothing):
     assert pii.find_pii(nothing).count() == 0
 
 
+def planted_texts(rng, n):
+    """Texts with a span each that base patterns miss, its kind and characters, and texts with what only looks alike."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    filler = lambda: " ".join(rng.choice("wind water stone light river tree house field green old".split()) for _ in range(rng.randint(5, 60)))
+    out = []
+    for _ in range(n):
+        kind = rng.choice(["email", "ip", "card", "phone", "none", "base"])
+        name = rng.choice(["bob", "anna.lee", "k_meier", "sales"]) + digits(2)
+        if kind == "email":
+            lead, span = rng.choice(["write to ", "my e-mail: ", "contact ", "mail me at "]), f"{name} [at] mail{digits(1)} [dot] {rng.choice(['com', 'org', 'de'])}"
+        elif kind == "ip":
+            lead, span = rng.choice(["the server ", "login from ", "host address "]), f"{rng.randint(1, 126)}[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}"
+        elif kind == "card":
+            lead, body = rng.choice(["my card ", "pay by visa ", "credit card "]), "4" + digits(14)
+            total = sum((2 * int(c) - 9 * (c > "4")) if k % 2 == 0 else int(c) for k, c in enumerate(body[::-1]))
+            body += str(-total % 10)
+            span = ".".join(body[k : k + 4] for k in range(0, 16, 4))
+        elif kind == "phone":
+            lead, span = rng.choice(["call me: ", "my phone is ", "tel. ", "mobile "]), f"{rng.choice(['385', '212', '415'])}-{digits(3)}-{digits(4)}"
+        elif kind == "base":
+            lead, span = "", rng.choice([f"{name}@mail.com", f"+1 (385) 555-{digits(4)}", "10.1.2.3", "4111 1111 1111 1111"])
+        else:
+            lead, span = rng.choice(["chapter ", "see part ", "in the year ", "version "]), rng.choice([f"{digits(2)} of {digits(4)}", f"{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"9999.{digits(4)}.{digits(4)}.99"])
+        text = f"{filler()} {lead}"
+        out.append((f"{text}{span} {filler()}", kind, len(text), len(text) + len(span)))
+    return out
+
+
+def test_added_spans_on_planted_texts(spark):
+    """Nine in ten of the planted spans of each kind are added with their exact ends, and texts without any get none."""
+    rows = planted_texts(random.Random(12), 900)
+    frame = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string").selectExpr("*", "'x' AS email", "1 AS votes", "2 AS s")
+    found, planted, wrong = collections.Counter(), collections.Counter(), 0
+    for r in pii.find_pii(frame).collect():
+        text, kind, s, e = rows[r.doc_id]
+        added = {(k, x.s, x.e) for k in pii.KINDS for x in r[k] if not x.base}
+        if kind in pii.KINDS:
+            planted[kind] += 1
+            found[kind] += (kind, s, e) in added
+            wrong += len(added - {(kind, s, e)})
+        else:
+            wrong += len(added)
+    assert all(found[k] >= 0.9 * planted[k] for k in pii.KINDS), (found, planted)
+    assert wrong <= 0.02 * len(rows)
+
+
+def test_pii_of_rows_without_ids_and_repeated_rows(spark):
+    rows = [(None, "a@b.de"), (None, None), (2, "1.2.3.4 x"), (2, "1.2.3.4 x"), (3, "n@m.fr " * 20000)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), len(r.email), len(r.ip)) for r in got) == [("2", 0, 1), ("2", 0, 1), ("3", 20000, 0), ("None", 0, 0), ("None", 1, 0)]
+
+
 def test_reliabilities_find_the_labelers_that_agree():
     """Two labelers of five are noise; the estimate follows the other three."""
     rng = random.Random(3)
