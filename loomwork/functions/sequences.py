@@ -41,17 +41,29 @@ def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int | None, int | No
     return out[::-1]
 
 
-def vote(a: Sequence[str], ca: Sequence[float], b: Sequence[str], cb: Sequence[float], second_bias: float = 0.04, margin: float = 0.02, single: float = 0.5) -> list[str]:
-    """Symbols of two aligned transcriptions: the surer one; a symbol that only one has stays if that one is sure enough."""
-    out = []
+def vote(a: Sequence[str], ca: Sequence[float], b: Sequence[str], cb: Sequence[float], second_bias: float = 0.04, margin: float = 0.02) -> tuple[list[str], float]:
+    """Symbols of two aligned transcriptions, and the mean confidence of what was taken.
+
+    Where both have a symbol the surer one counts, the second with a bias and beyond a margin; a symbol that only one
+    has stays.  If either is empty, the other is taken with confidence 0.
+    """
+    if not a or not b:
+        return list(a or b), 0.0
+    out, sure = [], []
     for i, j in align(a, b):
-        if i is not None and j is not None:
-            out.append(b[j] if a[i] != b[j] and cb[j] + second_bias > ca[i] + margin else a[i])
-        elif i is not None and ca[i] >= single:
-            out.append(a[i])
-        elif j is not None and i is None and cb[j] + second_bias >= single:
-            out.append(b[j])
-    return out
+        if j is None or (i is not None and a[i] != b[j] and not cb[j] + second_bias > ca[i] + margin):
+            out.append(a[i]), sure.append(ca[i])
+        elif i is None or a[i] != b[j]:
+            out.append(b[j]), sure.append(cb[j])
+        else:
+            out.append(a[i]), sure.append(max(ca[i], cb[j]))
+    return out, max(0.0, min(1.0, sum(sure) / len(sure)))
+
+
+def default_confidences(seconds: float, other: float = 0.38) -> tuple[float, float]:
+    """Of the recogniser that holds up on short segments and of the other one: under 0.8 s the first gains up to 0.15, and the second loses it, down to 0.25."""
+    boost = 0.15 * (0.8 - seconds) / 0.8 if seconds < 0.8 else 0.0
+    return 0.55 + boost, max(0.25, other - boost)
 
 
 def morphemes(phones: Sequence[str], prefixes: dict, roots: dict, suffixes: dict, most_prefixes: int = 4) -> list[tuple[str, str]]:
@@ -117,17 +129,36 @@ def sounds_to_letters(phones: Sequence[str], rules: dict[str, str], least: float
     return "".join(out) if phones and known / len(phones) >= least else ""
 
 
-def expand_contract(phones: Sequence[str], expand: dict[str, tuple[str, ...]]) -> list[str]:
-    """One pass from the left: a symbol with parts becomes these, and parts in a row become their symbol."""
-    whole = {v: k for k, v in expand.items()}
+# Maya ejectives and affricates in parts.
+EJECTIVE_PARTS = {"kʼ": [("k", "ʼ")], "pʼ": [("p", "ʼ")], "tʼ": [("t", "ʼ")], "tsʼ": [("t", "s", "ʼ"), ("ts", "ʼ")], "tʃʼ": [("t", "ʃ", "ʼ"), ("tʃ", "ʼ")]}
+AFFRICATE_PARTS = {"ts": [("t", "s")], "tʃ": [("t", "ʃ")]}
+
+
+def expand_contract(phones: Sequence[str], expand: dict[str, tuple[str, ...] | list[tuple[str, ...]]], late: dict[str, list[tuple[str, ...]]] | None = None) -> list[str]:
+    """One pass from the left: a symbol with parts becomes the first of its ways to be in parts, and parts in a row, in any of these ways, become their symbol.
+
+    Of the ways that fit the longest counts, and of symbols with the same parts the first.  Symbols of ``late``
+    are only taken apart where they are no part of anything.
+    """
+    ways = {k: [v] if isinstance(v, tuple) else list(v) for k, v in expand.items()}
+    late = late or {}
+    whole: dict[tuple[str, ...], str] = {}
+    for k, parts in [*ways.items(), *late.items()]:
+        for p in parts:
+            whole.setdefault(p, k)
+    longest = max(map(len, whole), default=0)
     out, at = [], 0
     while at < len(phones):
-        if phones[at] in expand:
-            out += expand[phones[at]]
+        size = next((n for n in range(min(longest, len(phones) - at), 1, -1) if tuple(phones[at : at + n]) in whole), 0)
+        if phones[at] in ways:
+            out += ways[phones[at]][0]
+            at += 1
+        elif size:
+            out.append(whole[tuple(phones[at : at + size])])
+            at += size
+        elif phones[at] in late:
+            out += late[phones[at]][0]
             at += 1
-        elif (pair := tuple(phones[at : at + 2])) in whole:
-            out.append(whole[pair])
-            at += 2
         else:
             out.append(phones[at])
             at += 1
@@ -145,7 +176,14 @@ def closest_word(text: str, words: Sequence[str], least: float = 0.75) -> str |
 
 
 def vectorised(f: Callable, returns: str) -> Callable[..., Column]:
-    """A function of plain values as a column function; nulls go to ``f`` as None."""
+    """A function of plain values as a column function; nulls go to ``f`` as None.  For a struct ``f`` returns its fields by name."""
+    if returns.startswith("struct"):
+
+        @F.pandas_udf(returns)
+        def run_struct(*columns: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([f(*row) for row in zip(*columns)], dtype=object)
+
+        return run_struct
 
     @F.pandas_udf(returns)
     def run(*columns: pd.Series) -> pd.Series:

@@ -113,17 +113,21 @@ def letter_score(text: Column) -> Column:
 
 
 def repetition_score(text: Column) -> Column:
-    """1 over the highest count of a run of three words; 1 for fewer than six words."""
+    """1 over the highest count of a run of three words; 1 for fewer than six words.
+
+    Only where a run comes up again are the runs sorted and counted.
+    """
     words = words_of(F.lower(text), "[\\p{L}\\p{N}_]+")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(words, i + 1, 3)))
-    ordered = F.array_sort(runs)
-    counts = F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(1).alias("most")),
-        lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["most"], F.when(x == a["last"], a["n"] + 1).otherwise(1)).alias("most")),
-        lambda a: a["most"],
-    )
-    return F.when(F.size(words) >= 6, 1 / counts).otherwise(1.0)
+    shifted = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b"), F.slice(words, 3, F.size(words)).alias("c"))
+    runs = F.slice(F.transform(shifted, lambda w: F.concat_ws(" ", w["a"], w["b"], w["c"])), 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(1).alias("most"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.when(x == a["last"], a["n"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), n.alias("n"), F.greatest(a["most"], n).alias("most"))
+
+    counts = F.aggregate(F.array_sort(runs), start, step, lambda a: a["most"])
+    return F.when((F.size(words) >= 6) & (F.size(F.array_distinct(runs)) < F.size(runs)), 1 / counts).otherwise(1.0)
 
 
 def verdict(lexicon: Column, apostrophe: Column, letters: Column, logprob: Column, repetition: Column) -> tuple[Column, Column]:
@@ -190,8 +194,15 @@ def slug(text: Column) -> Column:
 
 
 def letter_label(i: Column) -> Column:
-    """A to Z, then with a second letter."""
-    return F.when(i < 26, F.char(65 + i)).otherwise(F.concat(F.char(64 + F.floor(i / 26)), F.char(65 + i % 26)))
+    """A to Z, then AA, AB and so on, of whole numbers of any size."""
+    start = F.struct(F.lit("").alias("label"), i.cast("long").alias("rest"))
+
+    def step(a: Column, _: Column) -> Column:
+        more = a["rest"] >= 0
+        label = F.when(more, F.concat(F.char(65 + a["rest"] % 26), a["label"])).otherwise(a["label"])
+        return F.struct(label.alias("label"), F.when(more, F.floor(a["rest"] / 26).cast("long") - 1).otherwise(a["rest"]).alias("rest"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["label"])  # letters of the largest long
 
 
 def first_of(*texts: Column) -> Column:

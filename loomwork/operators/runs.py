@@ -186,23 +186,29 @@ def keep_apart(least: int) -> Callable[[list[dict]], list[dict]]:
     return fold
 
 
+def next_labels(known: list[tuple[float, float, str]], used: int, turns: list[dict]) -> tuple[list[str], int]:
+    """Labels of a pass's turns after the pass before it, and how many labels there are by then."""
+    names: dict[str, str] = {}
+    for t in sorted(turns, key=lambda t: (t["s"], t["e"])):
+        if t["speaker"] in names:
+            continue
+        best = max(((min(t["e"], e) - max(t["s"], s), label) for s, e, label in known if label not in names.values()), default=(0, ""), key=lambda x: x[0])
+        if best[0] > 0:
+            names[t["speaker"]] = best[1]
+        else:
+            names[t["speaker"]] = f"Speaker {letters(used)}"
+            used += 1
+    return [names[t["speaker"]] for t in turns], used
+
+
 def stable_labels(passes: list[list[dict]]) -> list[list[str]]:
     """Speaker labels that hold across passes: a speaker takes the label of the earlier turn that its first turn overlaps most, else a new letter."""
     known: list[tuple[float, float, str]] = []
     used, out = 0, []
     for turns in passes:
-        names: dict[str, str] = {}
-        for t in sorted(turns, key=lambda t: (t["s"], t["e"])):
-            if t["speaker"] in names:
-                continue
-            best = max(((min(t["e"], e) - max(t["s"], s), label) for s, e, label in known if label not in names.values()), default=(0, ""), key=lambda x: x[0])
-            if best[0] > 0:
-                names[t["speaker"]] = best[1]
-            else:
-                names[t["speaker"]] = f"Speaker {letters(used)}"
-                used += 1
-        out.append([names[t["speaker"]] for t in turns])
-        known = [(t["s"], t["e"], names[t["speaker"]]) for t in turns]
+        labels, used = next_labels(known, used, turns)
+        out.append(labels)
+        known = [(t["s"], t["e"], label) for t, label in zip(turns, labels)]
     return out
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import metrics as me
 from loomwork.operators import speakers as sp
-from loomwork.plans.base import millis, plain, predictions, query, read, segments, transcripts, truth, turns
+from loomwork.plans.base import EVENTS, millis, plain, predictions, query, read, segments, transcripts, truth, turns
+from loomwork.streaming import live
 
 
 def _rows(spark, d):
@@ -327,12 +328,15 @@ def s19(spark, d):
 
 @plain("st1_tumbling_windows", "SELECT (epoch_us(ts) // 1000) // 300000 AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def st1(spark, d):
-    return read(spark, d, "events").groupBy(F.floor(millis("ts") / 300000).alias("bucket"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    events = live.event_stream(spark, f"{d}/events.parquet", EVENTS)
+    counts = events.groupBy(F.floor(millis("ts") / 300000).alias("bucket"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return live.collected(counts, live.checkpoint_folder(spark), "complete")
 
 
 @plain("st5_new_speakers", "SELECT user_id, min(event_id) AS first_event FROM events GROUP BY user_id")
 def st5(spark, d):
-    return read(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("first_event"))
+    events = live.event_stream(spark, f"{d}/events.parquet", EVENTS)
+    return live.collected(events.groupBy("user_id").agg(F.min("event_id").alias("first_event")), live.checkpoint_folder(spark), "complete")
 
 
 @query("st7_decode_windows", "v AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k) SELECT pos, k, s + 100 * (k - 3) AS s, e + 50 * (k % 2) AS e FROM turn, v")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 
 from pyspark.sql import functions as F
 
 from loomwork.functions import sequences as sq
+from loomwork.functions import symbols as sy
 from loomwork.functions import text as tx
 from loomwork.operators import cascade as ca
 from loomwork.operators import intervals as iv
-from loomwork.plans.base import DAY, millis, plain, query, read, segments, transcripts, turns
+from loomwork.plans.base import DAY, EVENTS, millis, plain, query, read, segments, transcripts, turns
 from loomwork.plans.text_queries import RULES
 from loomwork.sources import subtitles as st
 from loomwork.streaming import live
@@ -195,14 +195,22 @@ def f11(spark, d):
     return _words(spark, d).select("item_id", f(F.split(F.array_join("w", ""), "")).alias("phones"))
 
 
+@query("f12_expand_contract_variants")
+def f12(spark, d):
+    f = sq.vectorised(lambda w: sq.expand_contract(list(w), sq.EJECTIVE_PARTS, sq.AFFRICATE_PARTS), "array<string>")
+    marked = F.regexp_replace(F.regexp_replace(F.array_join("w", " "), "e", "ʼ"), " ", "")
+    return _words(spark, d).select("item_id", f(F.split(marked, "")).alias("phones"))
+
+
 @query("f19_f20_phone_vote")
 def f20(spark, d):
     def fuse(a, b):
-        return sq.vote(list(a), [0.4 + len(x) / 20 for x in a], list(b), [0.5] * len(b))
+        found, sure = sq.vote(list(a), [0.4 + len(x) / 20 for x in a], list(b), [sq.default_confidences(len(b) / 20)[0]] * len(b))
+        return {"fused": found, "confidence": sure}
 
     t = _words(spark, d)
     other = t.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("b"))
-    return t.select("item_id", F.col("w").alias("a")).join(other, "item_id").select("item_id", sq.vectorised(fuse, "array<string>")("a", "b").alias("fused"))
+    return t.select("item_id", F.col("w").alias("a")).join(other, "item_id").select("item_id", sq.vectorised(fuse, "struct<fused:array<string>,confidence:double>")("a", "b").alias("v")).select("item_id", "v.*")
 
 
 @query("f23_f25_letters_and_sounds")
@@ -229,7 +237,7 @@ def f55(spark, d):
 def x3(spark, d):
     rows = segments(spark, d)
     top = rows.groupBy("media").agg(F.max("conf").alias("top"))
-    return rows.join(F.broadcast(top), "media").where(F.col("conf") > F.col("top") - 0.3).groupBy("media").agg(F.min("s").alias("onset"), F.max("s").alias("offset_"))
+    return rows.join(top, "media").where(F.col("conf") > F.col("top") - 0.3).groupBy("media").agg(F.min("s").alias("onset"), F.max("s").alias("offset_"))
 
 
 @query("x5_x6_frame_ratios", "x AS (SELECT 1) SELECT media, round(count(*) FILTER (WHERE conf < 0.05) / count(*), 6) AS low, round(count(*) FILTER (WHERE conf > 0.2) / count(*), 6) AS high, count(*) FILTER (WHERE conf < 0.05) / count(*) > 0.2 AND count(*) FILTER (WHERE conf > 0.2) / count(*) > 0.1 AS overlap FROM seg GROUP BY media")
@@ -238,18 +246,11 @@ def x6(spark, d):
     return segments(spark, d).groupBy("media").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), ((low > 0.2) & (high > 0.1)).alias("overlap"))
 
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
-
-def _checkpoint(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-stream-")
-
-
 @plain("st6_streaming_buckets", "SELECT event_type, (epoch_us(ts) // 1000) // 300000 AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def st6(spark, d):
     events = live.event_stream(spark, f"{d}/events.parquet", EVENTS)
     counts = events.groupBy("event_type", F.floor(millis("ts") / 300000).alias("bucket")).agg(F.count("*").alias("n"))
-    return live.collected(counts, _checkpoint(spark), "complete")
+    return live.collected(counts, live.checkpoint_folder(spark), "complete")
 
 
 @query("st2_st4_streaming_runs")
@@ -257,7 +258,7 @@ def st2(spark, d):
     events = live.event_stream(spark, f"{d}/events.parquet", EVENTS)
     s = millis("ts")
     rows = events.select(F.col("user_id").alias("media"), s.alias("s"), (s + F.floor(F.col("value") * 1000)).cast("long").alias("e"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("lang"))
-    return live.collected(live.closed_runs(rows, longest=10**12), _checkpoint(spark))
+    return live.collected(live.closed_runs(rows, longest=10**12), live.checkpoint_folder(spark), rest=live.last_runs)
 
 
 @query("w19_bleed_fragments", "l AS (SELECT media, pos, lang, speaker, lag(lang) OVER w AS a, lead(lang) OVER w AS b, e - s AS len FROM seg WINDOW w AS (PARTITION BY media ORDER BY s, pos)) SELECT media, pos FROM l WHERE NOT coalesce(len < 5000 AND a = lang AND b = lang, FALSE)")
@@ -280,16 +281,6 @@ def w21(spark, d):
     return folded(turns(spark, d).select("media", "pos", "s", "e", "speaker"), fold, "media long, pos long, label string")
 
 
-@plain("a36_embedding_classifier", "SELECT count(*) AS n, 10::BIGINT AS classes FROM embeddings")
-def a36(spark, d):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    rows = read(spark, d, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
-    model = LogisticRegression(maxIter=10, regParam=0.01).fit(rows)
-    return model.transform(rows).agg(F.count("*").alias("n"), F.lit(model.numClasses).cast("long").alias("classes"))
-
-
 def cross_validated(rows, folds: int = 5):
     """``(id, label, fold, prediction, fold_accuracy, accuracy)`` of rows of ``(id, label, features)``.
 
@@ -319,16 +310,32 @@ def a36_predictions(spark, d):
     return cross_validated(rows).select(F.col("id").alias("vec_id"), "fold", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "fold_accuracy", "accuracy")
 
 
-@query("f52_fused_tokens", "x AS (SELECT pos, CASE WHEN n > 5 THEN 'nikan' ELSE 'nika' END AS a, CASE WHEN pos % 2 = 0 THEN 'nikantin' ELSE 'ni' END AS b FROM seg) SELECT pos, CASE WHEN length(b) > length(a) THEN b ELSE a END AS fused FROM x")
+@plain("f52_fused_transliterations", """WITH p AS (SELECT a.item_id, lower(a.text) AS x, lower(b.text) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+i AS (SELECT item_id, list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '') AS wx, list_filter(string_split_regex(y, '\\s+'), lambda w: w <> '') AS wy FROM p),
+e AS (SELECT item_id, k, wx[k] AS a, wy[k] AS b FROM (SELECT *, unnest(range(1, greatest(len(wx), len(wy)) + 1)) AS k FROM i)),
+cue(c) AS (VALUES ('tl'), ('tz'), ('hu'), ('qu'), ('cu'), ('x'), ('z'), ('k'), ('tlan'), ('meh')),
+v AS (SELECT DISTINCT a AS w FROM e WHERE a IS NOT NULL UNION SELECT b FROM e WHERE b IS NOT NULL),
+sc AS (SELECT w, 25 * (SELECT count(*) FROM cue WHERE contains(w, c)) + CASE WHEN length(w) >= 6 THEN 10 ELSE 0 END
+              - CASE WHEN w IN ('de', 'del', 'la', 'el', 'y', 'que', 'en', 'por', 'para', 'con', 'no', 'es', 'un', 'una') THEN 30 ELSE 0 END AS s FROM v),
+f AS (SELECT item_id, k, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN sb.s - sa.s > 5 THEN b WHEN sa.s - sb.s > 5 THEN a WHEN length(a) >= length(b) THEN a ELSE b END AS w
+      FROM e LEFT JOIN sc sa ON sa.w = a LEFT JOIN sc sb ON sb.w = b),
+n AS (SELECT item_id, string_agg(w, ' ' ORDER BY k) AS t, max(k) AS last, arg_max(w, k) AS lw FROM f GROUP BY item_id)
+SELECT n.item_id, CASE WHEN n.item_id % 2 = 0 AND lw LIKE '%ki' THEN left(t, length(t) - 2) || 'izke' WHEN n.item_id % 2 = 0 AND lw LIKE '%ke' THEN left(t, length(t) - 2) || 'zke'
+                       WHEN n.item_id % 2 = 0 AND lw LIKE '%i' THEN t || 'zke' ELSE t END AS fused FROM n""")
 def f52(spark, d):
-    a, b = F.when(F.col("n") > 5, "nikan").otherwise("nika"), F.when(F.col("pos") % 2 == 0, "nikantin").otherwise("ni")
-    longer = lambda p: F.when(F.char_length(p["b"]) > F.char_length(p["a"]), p["b"]).otherwise(p["a"])
-    return segments(spark, d).select("pos", F.array_join(F.transform(F.arrays_zip(F.array(a).alias("a"), F.array(b).alias("b")), longer), " ").alias("fused"))
+    t = read(spark, d, "benchmark").select("item_id", F.lower("text").alias("x"))
+    other = t.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y"))
+    heard = F.when(F.col("item_id") % 2 == 0, "a s k i").otherwise("a s k a")
+    return t.join(other, "item_id").select("item_id", sy.fused_transliteration(F.col("x"), F.col("y"), heard).alias("fused"))
 
 
-@plain("f36_word_forms", "SELECT conv_id, turn, len(regexp_extract_all(lower(text), 'nik[aeiou]|tik[aeiou]|mik[aeiou]|tict|nicn|ichi|pil|neci|mati')) AS hits FROM conversations")
+@plain("f36_scored_check", """WITH t AS (SELECT conv_id, turn, lower(text) AS t FROM conversations)
+SELECT conv_id, turn, length(t) >= 4 AND (CASE WHEN contains(t, 'thering') OR contains(t, 'ation') THEN 35 WHEN contains(t, 'ouan') OR contains(t, 'eren') THEN 20 ELSE 0 END
+  + least(30, 15 * len(regexp_extract_all(t, 'nik[aeiou]|tik[aeiou]|mik[aeiou]|tict|ticm|ticn|nicn|nicm|nict|ichi|pil|neci|mati|caci|pano|mict|tequi|chiua|cipac|mani|tonan|nican|tlaco|acal|cali|ichan|ipan|ican|isti|lis|ilia|ilis|teca|tlaca|xica|naca|meca|titec|teka|tlaka|xika|naka|meka|titek|iske|isce|monec|monek|oneki|oneci|otl|utl|pach')))
+  - 20 * len(regexp_extract_all(t, '[bcdfgp][rl]|str|ntr')) >= 15) AS ok FROM t""")
 def f36(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", F.regexp_count(F.lower("text"), F.lit("nik[aeiou]|tik[aeiou]|mik[aeiou]|tict|nicn|ichi|pil|neci|mati")).alias("hits"))
+    ok = sy.has_nahuatl_forms(F.col("text"), ["thering", "ation", "ouan", "eren"])
+    return read(spark, d, "conversations").select("conv_id", "turn", ok.alias("ok"))
 
 
 @query("u2_u3_u4_marker_sets", "m AS (SELECT media, list_distinct(list(lang)) AS langs FROM seg GROUP BY media) SELECT media, array_to_string(list_sort(list_intersect(langs, ['nah', 'may', 'xyz'])), ' ') AS both, len(list_distinct(list_concat(langs, ['xyz', 'spa']))) AS either FROM m")

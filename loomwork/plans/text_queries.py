@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.functions import symbols as sy
 from loomwork.functions import text as tx
 from loomwork.operators import lexicon as lx
 from loomwork.operators import scoring as sc
@@ -280,9 +281,31 @@ def f3(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", tx.strip_accents(F.col("text")).alias("plain"))
 
 
-@plain("f12_f18_f28_joined_rules", "SELECT item_id, regexp_replace(regexp_replace(lower(text), 't h', 'θ', 'g'), 'k w', 'kʷ', 'g') AS x FROM benchmark")
+SYMBOLS = """WITH t AS (SELECT item_id, list_transform(list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ''), lambda c: c <> ' '),
+  lambda c: CASE c WHEN 'd' THEN 'ð' WHEN 's' THEN 'ɕ' WHEN 'e' THEN 'eː' WHEN 'h' THEN 'l' WHEN 'n' THEN 'k' WHEN 'i' THEN 'tʃa' WHEN 'o' THEN 'ː' ELSE c END) AS x FROM benchmark)
+"""
+
+
+def _symbols(spark, d) -> DataFrame:
+    to = F.create_map(*(F.lit(x) for kv in {"d": "ð", "s": "ɕ", "e": "eː", "h": "l", "n": "k", "i": "tʃa", "o": "ː"}.items() for x in kv))
+    letters_ = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), ""), lambda c: ~c.isin(" ", ""))
+    return read(spark, d, "benchmark").select("item_id", F.transform(letters_, lambda c: F.coalesce(to[c], c)).alias("x"))
+
+
+@plain("f18_canonical_symbols", SYMBOLS + """, c AS (SELECT item_id, list_filter(list_transform(x, lambda s: CASE s WHEN 'ð' THEN 'd' WHEN 'ɕ' THEN 'ʃ' WHEN 'eː' THEN 'e' WHEN 'g' THEN 'ɡ' WHEN 'r' THEN 'ɾ' WHEN 'ː' THEN '' ELSE s END), lambda s: s <> '') AS x FROM t),
+j AS (SELECT item_id, replace(' ' || array_to_string(x, '  ') || ' ', ' k  w ', ' kʷ ') AS x FROM c)
+SELECT item_id, trim(replace(CASE WHEN item_id % 2 = 0 THEN replace(x, ' t  l ', ' tɬ ') ELSE x END, '  ', ' ')) AS x FROM j""")
 def f18(spark, d):
-    return read(spark, d, "benchmark").select("item_id", F.regexp_replace(F.regexp_replace(F.lower("text"), "t h", "θ"), "k w", "kʷ").alias("x"))
+    return _symbols(spark, d).select("item_id", F.array_join(sy.canonical(F.col("x"), F.col("item_id") % 2 == 0), " ").alias("x"))
+
+
+@plain("f28_split_onsets", SYMBOLS + """, s AS (SELECT item_id, flatten(list_transform(x, lambda s: CASE WHEN s = 'tʃa' THEN ['tʃ', 'a'] ELSE [s] END)) AS x FROM t),
+e AS (SELECT item_id, generate_subscripts(x, 1) AS k, unnest(x) AS p FROM s),
+n AS (SELECT item_id, k, p, lead(p) OVER w AS after, lag(p) OVER w AS before FROM e WINDOW w AS (PARTITION BY item_id ORDER BY k))
+SELECT item_id, string_agg(CASE WHEN after = 'ː' AND p IN ('a', 'e', 'i', 'o', 'u') THEN p || 'ː' ELSE p END, ' ' ORDER BY k) AS x
+FROM n WHERE NOT (p = 'ː' AND coalesce(before, '') IN ('a', 'e', 'i', 'o', 'u')) GROUP BY item_id""")
+def f28(spark, d):
+    return _symbols(spark, d).select("item_id", F.array_join(sy.split_onsets(F.col("x")), " ").alias("x"))
 
 
 @plain("f21_f38_clean_text", "SELECT item_id, trim(regexp_replace(regexp_replace(text || ' (gloss) 12ˈ', '[1-5.ˈˌ]', '', 'g'), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(text || ' (gloss) x', '\\s*\\([^)]+\\)\\s*', ' ', 'g')) AS b FROM benchmark")
@@ -406,11 +429,16 @@ def f47(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.round(score, 4).alias("score"))
 
 
-@plain("f50_mention_classes", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)stupid|idiot') THEN 'insult' WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '@[a-z]') THEN 'contact' ELSE 'plain' END AS class FROM documents")
+@plain("f50_mention_classes", """WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(CASE WHEN turn % 2 = 0 THEN '- ' ELSE '' END || text, ' (of|der|de) ', ' is coming ', 'g'), ' (the|and|die|le|el|la) ', ' Marina ', 'g') AS x FROM conversations), l AS (SELECT *, lower(x) AS y FROM t)
+SELECT conv_id, turn, CASE
+  WHEN regexp_matches(y, '^marina[.,!?]?\\s*$') OR regexp_matches(y, 'marina[,!]?\\s*(come|go|tell|translate|help|lend|no)') OR regexp_matches(y, '(talk to|translate,|don.t be afraid,)\\s*marina') OR contains(y, 'what about marina') OR contains(y, 'where is marina') THEN 'SPEAKS_TO'
+  WHEN regexp_matches(y, 'marina is (coming|here|the most)') OR regexp_matches(y, '(was that|about) marina') OR contains(y, 'accompanies marina') OR contains(y, 'name will be marina') OR contains(y, 'malinche') OR contains(y, 'malintzin') THEN 'MENTIONED'
+  WHEN x LIKE '- %' AND contains(left(y, 20), 'marina') THEN 'SPOKEN_BY'
+  WHEN contains(y, 'marina') AND NOT (contains(y, 'marina!') OR contains(y, 'marina?') OR contains(y, 'marina,')) THEN 'MENTIONED' ELSE 'SPEAKS_TO' END AS class FROM l""")
 def f50(spark, d):
-    t = F.col("text")
-    cls = F.when(t.rlike("(?i)stupid|idiot"), "insult").when(F.contains(t, F.lit(" | ")), "table").when(t.rlike("@[a-z]"), "contact").otherwise("plain")
-    return read(spark, d, "documents").select("doc_id", cls.alias("class"))
+    t = F.concat(F.when(F.col("turn") % 2 == 0, "- ").otherwise(""), F.col("text"))
+    t = F.regexp_replace(F.regexp_replace(t, " (of|der|de) ", " is coming "), " (the|and|die|le|el|la) ", " Marina ")
+    return read(spark, d, "conversations").select("conv_id", "turn", sy.mention_class(t).alias("class"))
 
 
 @plain("f51_repeated_openings", "WITH t AS (SELECT doc_id, lower(text) AS t, regexp_extract(lower(text), '^[^\\s]+ [^\\s]+ [^\\s]+') AS o FROM documents) SELECT doc_id, (o <> '' AND (length(t) - length(replace(t, o, ''))) / greatest(length(o), 1) >= 3) AS loops FROM t")
@@ -441,6 +469,9 @@ def f56(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", tx.first_of(a, b, F.lit("last")).alias("x"))
 
 
-@plain("f57_json_recovery", "SELECT event_id, regexp_extract(props, '\"k\": (\\d+)', 1)::INT AS k FROM events")
+@plain("f57_json_recovery", """SELECT event_id, u.start::DOUBLE + 100 AS start, u.txt AS text FROM (SELECT event_id, unnest(CASE WHEN event_id % 3 = 0 THEN [{'start': event_id % 50, 'txt': event_type}] ELSE [{'start': event_id % 50, 'txt': event_type}, {'start': 7, 'txt': 'second'}] END) AS u FROM events)""")
 def f57(spark, d):
-    return read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    one = F.concat(F.lit('noise [{"Start": '), (F.col("event_id") % 50).cast("string"), F.lit(', "End": 9.5, "Speaker": 1, "Content": "'), F.col("event_type"), F.lit('"}, '))
+    two = F.when(F.col("event_id") % 3 == 0, '{"Start time": 7, "Text": "seco').when(F.col("event_id") % 3 == 1, '{"Start time": 7, "Text": "second"}, {"End": 3}]').otherwise('{"Start time": 7, "Text": "second"}, {"Sta')
+    rows = read(spark, d, "events").select("event_id", F.explode(sy.recovered_segments(F.concat(one, two), 100.0)).alias("s"))
+    return rows.select("event_id", "s.start", "s.text")

@@ -7,15 +7,17 @@ survives restarts with the query's checkpoint.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomwork.operators.runs import stable_labels
+from loomwork.operators.runs import next_labels
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -27,6 +29,14 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return reader.parquet(path)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="loomwork-stream-")
+
+
 def windowed(events: DataFrame, ts: str, keys: list[str], length: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts by event-time window and key; a window closes when the watermark has passed it."""
     rows = events.withWatermark(ts, late)
@@ -45,7 +55,7 @@ def new_keys(events: DataFrame, key: str) -> DataFrame:
 
 
 def closed_runs(events: DataFrame, longest: int = 30_000) -> DataFrame:
-    """Runs of one language in the order of arrival, each emitted once it has ended: all but the last one of a recording.
+    """Runs of one language in the order of arrival, each emitted once it has ended; ``last_runs`` has those still open when the stream stops.
 
     Rows have media, s, e, lang (nulls go on with the run before them).  A run that lasts longer than
     ``longest`` is emitted as it is and goes on as a new one, so that nobody waits for it.
@@ -70,31 +80,44 @@ def closed_runs(events: DataFrame, longest: int = 30_000) -> DataFrame:
     return events.groupBy("media").applyInPandasWithState(step, "media long, lang string, s long, e long, n long", "lang string, s long, e long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def last_runs(spark: SparkSession, state: str) -> DataFrame:
+    """The runs that were open when the query of ``closed_runs`` with the checkpoint ``state`` stopped: what a final flush emits."""
+    rows = spark.read.format("statestore").load(state)
+    return rows.select(F.col("key.media").alias("media"), "value.groupState.lang", "value.groupState.s", "value.groupState.e", "value.groupState.n").where("lang IS NOT NULL")
+
+
 def stable_speakers(turns: DataFrame) -> DataFrame:
     """Turns with labels that hold across passes: each pass takes the labels of the turns before it that its speakers overlap.
 
-    Rows have media, pass, s, e, speaker; state is the last pass's turns with their labels and the labels used.
+    Rows have media, pass, s, e, speaker.  A pass comes whole within a batch; state is the last pass's turns with
+    their labels and the number of labels so far, however many passes there were.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["pass", "s", "e"], kind="stable")
-        (seen,) = state.get if state.exists else ("",)
-        passes = [[dict(zip(("s", "e", "speaker"), (float(t.split(",")[0]), float(t.split(",")[1]), t.split(",")[2]))) for t in p.split(";")] for p in seen.split("|") if p]
-        old = len(passes)
-        passes += [g.to_dict("records") for _, g in rows.groupby("pass", sort=True)]
-        labels = [x for p in stable_labels(passes)[old:] for x in p]
-        state.update(("|".join(";".join(f"{t['s']},{t['e']},{t['speaker']}" for t in p) for p in passes),))
+        starts, ends, names, used = state.get if state.exists else ([], [], [], 0)
+        known, labels = list(zip(starts, ends, names)), []
+        for _, one in rows.groupby("pass", sort=True):
+            turns = one.to_dict("records")
+            own, used = next_labels(known, used, turns)
+            known = [(float(t["s"]), float(t["e"]), x) for t, x in zip(turns, own)]
+            labels += own
+        starts, ends, names = (list(x) for x in zip(*known))
+        state.update((starts, ends, names, used))
         yield rows.assign(media=key[0], label=labels)[["media", "pass", "s", "e", "speaker", "label"]]
 
-    return turns.groupBy("media").applyInPandasWithState(step, "media long, pass long, s double, e double, speaker string, label string", "seen string", "append", GroupStateTimeout.NoTimeout)
+    return turns.groupBy("media").applyInPandasWithState(
+        step, "media long, pass long, s double, e double, speaker string, label string", "starts array<double>, ends array<double>, names array<string>, used long", "append", GroupStateTimeout.NoTimeout
+    )
 
 
-def collected(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now, to the end, into Parquet files beside its checkpoint, and returns these."""
+def collected(stream: DataFrame, checkpoint: str, mode: str = "append", rest: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+    """Runs a stream over what is there now, to the end, into Parquet files beside its checkpoint, and returns these; ``rest`` adds what its state still holds then."""
     where = f"{checkpoint.rstrip('/')}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).format("parquet").start(f"{where}/rows")
     else:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{where}/rows")).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/rows")
+    out = stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/rows")
+    return out.unionByName(rest(stream.sparkSession, f"{where}/state")) if rest else out

@@ -43,8 +43,8 @@ def test_small_functions(spark):
 def test_alignment_and_vote():
     assert sq.align("abc", "axc") == [(0, 0), (1, 1), (2, 2)]
     assert sq.align("ab", "b") == [(0, None), (1, 0)]
-    assert sq.vote(["a", "b"], [0.9, 0.2], ["a", "x", "y"], [0.5, 0.5, 0.9]) == ["a", "x", "y"]
-    assert sq.vote([], [], [], []) == []
+    assert sq.vote(["a", "b"], [0.9, 0.2], ["a", "x", "y"], [0.5, 0.5, 0.9])[0] == ["a", "x", "y"]
+    assert sq.vote([], [], [], [])[0] == []
 
 
 def test_alignment_and_vote_match_brute_force_over_whole_texts(spark, tmp_path):
@@ -71,12 +71,12 @@ def test_alignment_and_vote_match_brute_force_over_whole_texts(spark, tmp_path):
         return out[::-1]
 
     def fused(a, b):
-        out = []
+        out, sure = [], 0.55 + max(0.0, 0.15 * (0.8 - len(b) / 20) / 0.8)
         for i, j in brute(a, b):
-            one, two = i is not None and (0.4 + len(a[i]) / 20, a[i]), j is not None and (0.5, b[j])
+            one, two = i is not None and (0.4 + len(a[i]) / 20, a[i]), j is not None and (sure, b[j])
             if one and two:
                 out.append(two[1] if one[1] != two[1] and two[0] + 0.04 > one[0] + 0.02 else one[1])
-            elif one and one[0] >= 0.5 or two:
+            else:
                 out.append((one or two)[1])
         return out
 
@@ -185,8 +185,26 @@ def test_streamed_runs_equal_batch_runs(spark, tmp_path):
             x.unlink()
         (tmp_path / "in" / str(k)).rmdir()
     stream = live.event_stream(spark, f"{tmp_path}/in", "media long, s long, e long, lang string")
-    got = sorted(tuple(r) for r in live.collected(live.closed_runs(stream), str(tmp_path)).collect())
-    assert got == [(1, "a", 0, 29, 3), (1, "a", 50, 59, 1), (1, "b", 30, 49, 2)]
+    got = sorted(tuple(r) for r in live.collected(live.closed_runs(stream), str(tmp_path), rest=live.last_runs).collect())
+    assert got == [(1, "a", 0, 29, 3), (1, "a", 50, 59, 1), (1, "b", 30, 49, 2), (1, "c", 60, 79, 2)]
+
+
+def test_labels_hold_over_a_stream_of_passes(spark, tmp_path):
+    """As over all passes at once, with the state of the last pass only."""
+    import os
+
+    from loomwork.operators.runs import stable_labels
+
+    passes = [[("S0", 0.0, 2.0), ("S1", 2.5, 5.0)], [("S1", 0.1, 2.1), ("S0", 2.6, 5.1)], [("S7", 2.4, 5.2), ("S8", 8.0, 9.0)], [("S1", 8.1, 9.1), ("S2", 0.0, 1.0)]]
+    for k, turns in enumerate(passes):
+        spark.createDataFrame([(1, k, s, e, x) for x, s, e in turns], "media long, pass long, s double, e double, speaker string").coalesce(1).write.parquet(f"{tmp_path}/x{k}")
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        next((tmp_path / f"x{k}").glob("part-*")).rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    stream = live.event_stream(spark, f"{tmp_path}/in", "media long, pass long, s double, e double, speaker string")
+    got = {(r["pass"], r.speaker): r.label for r in live.collected(live.stable_speakers(stream), str(tmp_path)).collect()}
+    expected = stable_labels([[{"s": s, "e": e, "speaker": x} for x, s, e in p] for p in passes])
+    assert got == {(k, x): label for k, (p, names) in enumerate(zip(passes, expected)) for (x, _, _), label in zip(p, names)}
 
 
 def test_streamed_windows_close_behind_the_watermark(spark, tmp_path):
@@ -219,3 +237,88 @@ def test_profiles_and_rules(spark, tmp_path):
     assert [(r.grapheme, r.ipa) for r in media.sound_rules(spark, f"{tmp_path}/g.csv").collect()] == [("tl", ["t", "ɬ"]), ("a", ["a"])]
     with pytest.raises(ValueError):
         media.required(spark.range(1), ["id", "audio"])
+
+
+def one(spark, make, *values):
+    frame = spark.createDataFrame([values], [f"c{k}" for k in range(len(values))])
+    return frame.select(make(*(F.col(c) for c in frame.columns)).alias("x")).first().x
+
+
+def test_canonical_symbols(spark):
+    from loomwork.functions import symbols as sy
+
+    tokens = [" t͡ɕ ", "", "ʂ", "k", "w", "kː", "wʰ", "t", "l", "ð", "r", "g"]
+    assert one(spark, sy.canonical, tokens, True) == ["tʃ", "ʃ", "kʷ", "kʷ", "tɬ", "d", "ɾ", "ɡ"]
+    assert one(spark, sy.canonical, tokens, False) == ["tʃ", "ʃ", "kʷ", "kʷ", "t", "l", "d", "ɾ", "ɡ"]
+    assert one(spark, sy.canonical, ["k", "k", "w", "kw"], False) == ["k", "kʷ", "kʷ"] and one(spark, sy.canonical, [" "], True) == []
+
+
+def test_onsets_are_split_and_vowels_lengthened(spark):
+    from loomwork.functions import symbols as sy
+
+    assert one(spark, sy.split_onsets, ["tɬa", "kʷeo", "a", "ː", "ː", "tɬn", "n", "ː", "ts"]) == ["tɬ", "a", "kʷ", "e", "o", "aː", "ː", "tɬn", "n", "ː", "ts"]
+
+
+def test_parts_of_ejectives():
+    from loomwork.functions.sequences import AFFRICATE_PARTS, EJECTIVE_PARTS, expand_contract
+
+    maya = lambda *p: expand_contract(p, EJECTIVE_PARTS, AFFRICATE_PARTS)
+    assert maya("kʼ", "a") == ["k", "ʼ", "a"] and maya("k", "ʼ", "a") == ["kʼ", "a"]
+    assert maya("t", "s", "ʼ") == ["tsʼ"] and maya("ts", "ʼ") == ["tsʼ"] and maya("tsʼ") == ["t", "s", "ʼ"]
+    assert maya("ts", "a") == ["t", "s", "a"] and maya("t", "s", "a") == ["ts", "a"] and maya("a", "tʃ") == ["a", "t", "ʃ"] and maya("t", "ʼ") == ["tʼ"]
+
+
+def test_nahuatl_forms(spark):
+    from loomwork.functions import symbols as sy
+
+    score = lambda t: one(spark, lambda c: sy.nahuatl_form_score(c, ["nikan", "ouan"]), t)
+    assert score("Nikan") == pytest.approx(0.5) and score("ouan ni") == pytest.approx(0.2) and score("abc") is None
+    assert score("tlaco pil mati ouan") == pytest.approx(0.5) and score("padre brazo") == pytest.approx(-0.4)
+    assert one(spark, lambda c: sy.has_nahuatl_forms(c, ["nikan"]), "xx nika") and not one(spark, lambda c: sy.has_nahuatl_forms(c, ["nikan"]), "tres")
+
+
+def test_mention_classes(spark):
+    from loomwork.functions import symbols as sy
+
+    cases = {"Marina!": "SPEAKS_TO", "Marina, come here": "SPEAKS_TO", "Where is Marina": "SPEAKS_TO", "Marina is coming": "SPEAKS_TO", "So Marina is here": "MENTIONED", "The Malinche": "MENTIONED",
+             "- Marina: yes": "SPOKEN_BY", "I saw Marina yesterday": "MENTIONED", "Hey Marina, yes": "SPEAKS_TO"}
+    cases["Marina is coming"] = "MENTIONED"
+    assert {t: one(spark, sy.mention_class, t) for t in cases} == cases
+
+
+def test_fused_transliterations(spark):
+    from loomwork.functions import symbols as sy
+
+    fuse = lambda a, b, heard="": one(spark, lambda x, y, z: sy.fused_transliteration(x, y, z), a, b, heard)
+    assert fuse("nikan de", "nika kali tlan") == "nikan kali tlan" and fuse("", "abc") == "abc" and fuse("", "") == ""
+    assert fuse("el", "ab") == "ab" and fuse("que", "ab") == "que" and fuse("abc", "abd") == "abc" and fuse("ab", "abd") == "abd"
+    assert fuse("neki", "", "n e s k i") == "neizke" and fuse("neke", "", "z k i x") == "nezke" and fuse("ni", "", "ʃ k i") == "nizke" and fuse("neki", "", "s k ia") == "neki"
+
+
+def test_segments_of_arrays_that_break_off(spark):
+    from loomwork.functions import symbols as sy
+
+    read = lambda t: [tuple(x) for x in one(spark, lambda c: sy.recovered_segments(c, 10.0), t)]
+    whole = '[{"Start": 1.5, "End": 2, "Speaker": 0, "Content": "a b"}, {"Start time": 3, "End time": 4, "Speaker ID": "x", "Text": "c"}]'
+    assert read("ok " + whole + " rest") == [(11.5, 12.0, "0", "a b"), (13.0, 14.0, "x", "c")]
+    assert read(whole[:-8]) == [(11.5, 12.0, "0", "a b")] and read("no array") == [] and read('[{"End": 3}]') == []
+    loop = " ".join(["one two three four five"] * 4)
+    assert read('[{"Start": 0, "Content": "%s"}, {"Start": 1, "Content": "x"}' % loop) == [(11.0, 10.0, "", "x")]
+
+
+def test_vote_of_two_transcriptions():
+    from loomwork.functions.sequences import default_confidences, vote
+
+    assert vote(["a", "b"], [0.1, 0.1], ["a", "c", "d"], [0.1, 0.2, 0.2]) == (["a", "c", "d"], pytest.approx((0.1 + 0.2 + 0.2) / 3))
+    assert vote(["a", "b"], [0.3, 0.5], ["a"], [0.6]) == (["a", "b"], pytest.approx(0.55))
+    assert vote(["a"], [0.5], ["b"], [0.47]) == (["a"], 0.5) and vote(["a"], [0.5], ["b"], [0.49]) == (["b"], 0.49)
+    assert vote([], [], ["b"], [0.9]) == (["b"], 0.0) and vote([], [], [], []) == ([], 0.0)
+    assert default_confidences(1.0) == (0.55, 0.38) and default_confidences(0.0) == (pytest.approx(0.7), 0.25) and default_confidences(0.4) == (pytest.approx(0.625), pytest.approx(0.305))
+
+
+def test_letter_labels_of_any_length(spark):
+    from loomwork.operators.runs import letters
+
+    numbers = [0, 25, 26, 51, 52, 701, 702, 18277, 18278, 10**12]
+    got = [r.x for r in spark.createDataFrame([(n,) for n in numbers], "i long").select(tx.letter_label(F.col("i")).alias("x")).collect()]
+    assert got == [letters(n) for n in numbers] and got[:8] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ"]
