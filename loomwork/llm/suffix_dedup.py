@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._spark import doc_text, pieces, settle, table
+from loomwork.llm._spark import discard, doc_text, pieces, settle, table
 from loomwork.llm._text import U64, Words, _power_tables, buffers, mix, split_words
 from loomwork.llm.components import components
 
@@ -101,15 +101,20 @@ def suffixes(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_i
     wanted = found.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     # repeated rows go while the rows are still where the join has put and sorted them
     rows = doc_text(docs, id_col, text_col).join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "keys")
-    return rows.mapInArrow(run, "doc_id long, start long, key long, hash long")
+    out = settle(rows.mapInArrow(run, "doc_id long, start long, key long, hash long"))
+    discard(found), discard(often)
+    return out
+
 
+def repeated_suffixes(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """``(doc_id, start, least)``: suffixes whose first ``least`` words several documents have, and the smallest ``(doc_id, start)`` of those.
 
-def repeated_suffixes(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, least)``: suffixes whose first ``least`` words several documents have, and the smallest ``(doc_id, start)`` of those."""
-    rows = settle(suffixes(docs, least, gram, id_col, text_col))
+    With them come the settled tables that they are read from, for the caller to discard.
+    """
+    rows = suffixes(docs, least, gram, id_col, text_col)
     groups = rows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.max("doc_id").alias("most_id"))
     groups = settle(groups.where("least.doc_id < most_id").select("key", "hash", "least"))
-    return rows.join(groups, ["key", "hash"]).select("doc_id", "start", "least")
+    return rows.join(groups, ["key", "hash"]).select("doc_id", "start", "least"), [rows, groups]
 
 
 def _run_length(same: np.ndarray) -> int:
@@ -151,11 +156,13 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col
     """
     order = Window.partitionBy("doc_id").orderBy("start")
     before, same = F.lag("start").over(order), F.lag("least").over(order)
-    rows = repeated_suffixes(docs, least, gram, id_col, text_col)
+    rows, read = repeated_suffixes(docs, least, gram, id_col, text_col)
     rows = rows.withColumn("new", F.coalesce(F.col("start") > before + least, F.lit(True)))
     rows = rows.withColumn("goes_on", F.coalesce((before == F.col("start") - 1) & (same["doc_id"] == F.col("least.doc_id")) & (same["start"] == F.col("least.start") - 1), F.lit(False)))
     begun = F.max(F.when(F.col("new"), F.col("start"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = settle(rows.select("doc_id", "start", "least", "goes_on", begun.alias("passage")))
+    for x in read:
+        discard(x)
 
     node = F.struct("doc_id", F.col("passage").alias("start"))
     own = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("start") == F.col("least.start"))
