@@ -81,7 +81,7 @@ def keys(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_id",
 
 
 def suffixes(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, key, hash)``: every suffix whose first ``least`` words, hashed, have a minimiser that several documents have."""
+    """``(doc_id, start, hash)``: every suffix whose first ``least`` words, hashed in 64 bits, have a minimiser that several documents have."""
 
     def run(batches):
         for batch in batches:
@@ -89,11 +89,11 @@ def suffixes(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_i
                 words = split_words(*buffers(part.column(1)))
                 text, start, key = minimisers(words, gram, least)
                 wanted = np.isin(key.view(np.int64), part.column(2).flatten().to_numpy(zero_copy_only=False))
-                text, start, key = text[wanted], start[wanted], key[wanted]
+                text, start = text[wanted], start[wanted]
                 if not len(text):
                     continue
-                columns = [part.column(0).take(pa.array(text)), pa.array((start - words.offsets[:-1][text]).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(gram_hashes(words, least)[start].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "key", "hash"])
+                columns = [part.column(0).take(pa.array(text)), pa.array((start - words.offsets[:-1][text]).astype(np.int64)), pa.array(gram_hashes(words, least)[start].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "hash"])
 
     found = settle(keys(docs, least, gram, id_col, text_col))
     # settled, so that the join reads it from a shuffle of its own and can split the documents of a key
@@ -101,7 +101,7 @@ def suffixes(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_i
     wanted = found.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     # repeated rows go while the rows are still where the join has put and sorted them
     rows = doc_text(docs, id_col, text_col).join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "keys")
-    out = settle(rows.mapInArrow(run, "doc_id long, start long, key long, hash long"))
+    out = settle(rows.mapInArrow(run, "doc_id long, start long, hash long"))
     discard(found), discard(often)
     return out
 
@@ -112,9 +112,9 @@ def repeated_suffixes(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col
     With them come the settled tables that they are read from, for the caller to discard.
     """
     rows = suffixes(docs, least, gram, id_col, text_col)
-    groups = rows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.max("doc_id").alias("most_id"))
-    groups = settle(groups.where("least.doc_id < most_id").select("key", "hash", "least"))
-    return rows.join(groups, ["key", "hash"]).select("doc_id", "start", "least"), [rows, groups]
+    groups = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.max("doc_id").alias("most_id"))
+    groups = settle(groups.where("least.doc_id < most_id").select("hash", "least"))
+    return rows.join(groups, "hash").select("doc_id", "start", "least"), [rows, groups]
 
 
 def _run_length(same: np.ndarray) -> int:
