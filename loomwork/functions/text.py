@@ -17,6 +17,15 @@ MAYA_HINT_WORDS = ("ba", "baal", "kes", "kes'", "uchala", "takin", "k'an", "lo'"
 MAYA_PATTERNS = ("k'", "ts'", "ch'", "x", "j", "aa", "oo", "uu")
 LATIN_WORDS = ("ego", "te", "baptizo", "nomine", "patris", "filii", "spiritus", "sancti", "amen", "dominus", "deus", "pater", "noster", "maria", "gratia")
 IPA_SYMBOLS = "ɪɛæɑɔʊəɜɚʌŋθðʃʒɾβɣχʁɴɲɳɻʂʐɕʑɬɮʔɯɨʉɵɤɘɞɐœøɒɶʋɹɰɥʍʜʢɧɦʙʀɺɭɽɢɠɗɓʛʄǃǀǂǁ"
+PARAGRAPH_SPANISH = (
+    "de", "la", "el", "los", "las", "y", "que", "en", "un", "una", "por", "para", "con", "se", "es", "del", "al", "como", "más", "mas", "su", "sus", "ya", "pero", "si", "sí", "no", "le", "lo", "a", "o", "u",
+    "yo", "tu", "tú", "mi", "me", "te", "nos", "vos", "fue", "era", "son", "ser", "ha", "han",
+)
+PARAGRAPH_FUNCTION = ("in", "yn", "auh", "ca", "nican", "inic", "ye", "amo", "niman", "ompa", "tlaca", "mexica", "tenochtitlan", "teotl", "teochichimeca", "huehuetque")
+PARAGRAPH_CLUSTERS = ("tl", "tz", "hu")
+PARAGRAPH_STARTS = ("cuauh", "quauh", "teo", "xoch", "tla")
+TOPICS = ("Agric", "Botan", "Comid", "Creer", "Cuent", "MatCl", "Medic", "Narra", "Tradi", "Zoolo")
+VILLAGES = {"Omitl": "Omitlan", "Tengo": "Tenango", "Tenti": "Tentizapa", "Tepet": "Tepetzintla", "Xmlpa": "Xonamalpan", "Xonot": "Xonotla", "Xtlax": "Xochitlaxco"}
 ALLOPHONES = {"g": "ɡ", "ɹ": "ɾ", "ʀ": "ʁ", "tʃ": "tɕ"}
 
 
@@ -189,6 +198,26 @@ def srt_ms(stamp: Column) -> Column:
     return part(1) * 3600000 + part(2) * 60000 + part(3) * 1000 + part(4)
 
 
+def paragraph_score(text: Column) -> Column:
+    """How much a paragraph looks like Nahuatl: its function words and letter clusters, less the share of Spanish words; 0 below five words."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-záéíóúüñç'\\-]+"), F.lit(0))
+    words = F.filter(F.transform(found, lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: w != "")
+    flag = lambda c: c.cast("int")
+    clusters = lambda w: sum((flag(F.contains(w, F.lit(c))) for c in PARAGRAPH_CLUSTERS), flag(w.rlike(f"^({'|'.join(PARAGRAPH_STARTS)})")) + 2 * flag(F.endswith(w, F.lit("tzin"))))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("spanish"), F.lit(0).alias("function"), F.lit(0).alias("clusters"))
+    step = lambda a, w: F.struct((a["n"] + 1).alias("n"), (a["spanish"] + flag(w.isin(*PARAGRAPH_SPANISH))).alias("spanish"), (a["function"] + flag(w.isin(*PARAGRAPH_FUNCTION))).alias("function"), (a["clusters"] + clusters(w)).alias("clusters"))
+    score = lambda a: F.when(a["n"] < 5, 0.0).otherwise(a["function"] * 2.0 + a["clusters"] * 0.6 - a["spanish"] / a["n"] * 6.0 + F.least(a["n"], F.lit(30)) * 0.03)
+    return F.coalesce(F.aggregate(words, zero, step, score), F.lit(0.0))
+
+
+def recording_name(name: Column) -> Column:
+    """A struct of a recording's ``topic``, ``village`` and ``speakers`` from its file name; ``Unknown`` where there is none."""
+    topic = F.nullif(F.regexp_extract(name, f"_({'|'.join(TOPICS)})_", 1), F.lit(""))
+    village = F.nullif(F.regexp_extract(name, f"(?:^|_)({'|'.join(VILLAGES)})_", 1), F.lit(""))
+    speakers = F.regexp_extract_all(name, F.lit("(?<![A-Za-z])([A-Z]{2,4}\\d{3,4})(?![A-Za-z])"), F.lit(1))
+    return F.struct(F.coalesce(topic, F.lit("Unknown")).alias("topic"), F.coalesce(_map(VILLAGES)[village], F.lit("Unknown")).alias("village"), speakers.alias("speakers"))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip_accents(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -13,6 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.text import strip_accents
+
+# Function words of short copies.
+BLEED_WORDS = ("de", "del", "la", "el", "que", "en", "y", "por", "para", "con", "no", "es", "un", "una")
+
 
 def _order(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -96,6 +101,39 @@ def allocated(rows: DataFrame, taken: str, keys: Sequence[str] = ("media",), ord
     return rows.withColumn("number", F.coalesce(F.col(taken), low - rank))
 
 
+def bleed_merged(rows: DataFrame, keys: Sequence[str] = ("media",), order: Sequence[str] = ("s", "pos"), longest: float = 1.2) -> DataFrame:
+    """Segments ``(keys, s, e, text, speaker, lang, ipa)`` in seconds, short copies of a neighbour's words merged or without text; ``mark`` tells which.
+
+    A copy lasts ``longest`` at most, has one to four words with a function word among them, and stands whole in a
+    neighbour of at least three words more.  It goes into the segment kept before it if speaker and language are
+    the same and the gap is no longer than that; else its text becomes null; before any other it stays.  At most
+    four copies follow each other, so that what is folded into one row is as small.
+    """
+    norm = F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.coalesce("text", F.lit(""))), "\\p{Mn}", ""), "[^a-z0-9]", " "))
+    over = _order(keys, order)
+    rows = rows.withColumns({"_norm": norm, "mark": F.lit("")}).withColumn("_words", F.filter(F.split("_norm", " +"), lambda x: x != ""))
+    holds = lambda shift: F.coalesce((shift("_n") >= F.size("_words") + 3) & F.contains(shift("_norm"), F.col("_norm")), F.lit(False))
+    small = (F.col("e") - F.col("s") <= longest) & F.col("_n").between(1, 4) & (F.length("_norm") >= 6) & F.arrays_overlap("_words", F.array(*map(F.lit, BLEED_WORDS)))
+    rows = rows.withColumn("_n", F.size("_words"))
+    rows = rows.withColumn("_bleed", small & (holds(lambda c: F.lag(c).over(over)) | holds(lambda c: F.lead(c).over(over)))).drop("_norm", "_words", "_n")
+    rows = rows.withColumn("_island", F.sum((~F.col("_bleed")).cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    names = [*order, *(c for c in rows.columns if c not in (*keys, *order, "_island"))]
+    changed = lambda x, **new: F.struct(*(new.get(c, x[c]).alias(c) for c in names))
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        near = last["speaker"].eqNullSafe(x["speaker"]) & last["lang"].eqNullSafe(x["lang"]) & (x["s"] - last["e"] <= longest)
+        ipa = F.when(F.coalesce(x["ipa"], F.lit("")) == "", last["ipa"]).otherwise(F.trim(F.concat_ws(" ", F.trim(last["ipa"]), F.trim(x["ipa"]))))
+        taken = changed(last, e=F.greatest(last["e"], x["e"]), ipa=ipa, mark=F.concat(last["mark"], F.lit("+bleed-merged")))
+        bare = changed(x, text=F.lit(None).cast("string"), mark=F.concat(x["mark"], F.lit("+bleed-pruned")))
+        into = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(taken))
+        return F.when(~x["_bleed"] | (F.size(out) == 0), F.concat(out, F.array(x))).when(near, into).otherwise(F.concat(out, F.array(bare)))
+
+    islands = rows.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_rows"))
+    kept = F.aggregate("_rows", F.slice("_rows", 1, 0), step)
+    return islands.select(*keys, F.explode(kept).alias("_x")).select(*keys, "_x.*").drop("_bleed")
+
+
 def spread(rows: DataFrame, parts: Column, s: Column, e: Column) -> DataFrame:
     """One row for every element of ``parts``, with an even share of the time from ``s`` to ``e``: adds i, part, ps, pe."""
     n = F.size(parts)

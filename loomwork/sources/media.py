@@ -60,6 +60,17 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("code", F.coalesce("priority", F.lit(1)).alias("priority"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"), F.explode(every).alias("m")).select("code", "priority", "threshold", "m.*")
 
 
+def prosody_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """``(code, name, rhythm_class, f0_range, f0_std, npvi_v, speech_rate, weight)`` of profile files, one object each, by code.
+
+    The four features are structs of ``min``, ``max`` and ``target``.  A file that lacks a field is an error when it is read.
+    """
+    span = "STRUCT<min: DOUBLE, max: DOUBLE, target: DOUBLE>"
+    schema = f"code STRING, name STRING, rhythm_class STRING, f0_range {span}, f0_std {span}, npvi_v {span}, speech_rate {span}, weight DOUBLE"
+    raw = spark.read.schema(schema).json(path, multiLine=True, pathGlobFilter="*.json")
+    return required(raw, raw.columns).orderBy("code")
+
+
 def sound_rules(spark: SparkSession, path: str) -> DataFrame:
     """``(grapheme, ipa array<string>)`` of a rule file, longest graphemes first."""
     raw = spark.read.csv(path, header=True)

@@ -16,6 +16,10 @@ from loomwork.functions.text import srt_ms, srt_time
 # Fixed values.
 ALIASES = {"esp": "spa", "ger": "deu"}
 SOURCE_MARKS = ("FT", "LLM", "IPA", "REC", "UNC")
+LANGUAGE_NAMES = {"nahuatl": "nah", "español": "spa", "other": "oth", "silence": "sil"}
+REPORT_NAMES = {**LANGUAGE_NAMES, "spanish": "spa", "english": "eng"}
+NAHUATL_SYMBOLS = ("ts", "tɬ", "kʷ", "tʃʼ", "kʼ", "tɕ")
+EJECTIVES = ("kʼ", "tʼ", "tsʼ", "tʃʼ", "pʼ")
 TEXT_COLUMNS = ("text", "sentence", "transcription", "transcript")
 AUDIO_COLUMNS = ("path", "audio", "audio_file", "file")
 SPEAKER_COLUMNS = ("speaker", "client_id", "speaker_id")
@@ -63,6 +67,67 @@ def cues(files: DataFrame, text: str = "value", keys: Sequence[str] = ("path",),
     return rows.groupBy(*keys, "cue").agg(last.alias("m")).select(*keys, "cue", "m.*")
 
 
+def _blocks(files: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """``(keys, i, cue, start_s, end_s, lines)`` of blocks with a whole number, and times of full length below it."""
+    stamp = "\\d{2}:\\d{2}:\\d{2}[,.]\\d{3}"
+    stripped = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
+    plain = stripped(F.regexp_replace(F.col(text), "\\r\\n?", "\n"))
+    rows = files.select(*keys, F.posexplode(F.split(plain, "\\n\\n+")).alias("i", "block")).withColumn("lines", F.split(stripped(F.col("block")), "\\n", -1))
+    line = lambda i: F.coalesce(F.get("lines", F.lit(i)), F.lit(""))
+    rows = rows.where(line(0).rlike("^\\s*[+-]?\\d+\\s*$") & line(1).rlike(f"^{stamp}\\s*-->\\s*{stamp}"))
+    time = lambda pattern: srt_ms(F.regexp_extract(line(1), pattern, 1)) / 1000.0
+    return rows.select(*keys, "i", F.trim(line(0)).cast("long").alias("cue"), time(f"^({stamp})").alias("start_s"), time(f"-->\\s*({stamp})").alias("end_s"), "lines")
+
+
+def annotated_cues(files: DataFrame, text: str = "value", keys: Sequence[str] = ("path",)) -> DataFrame:
+    """``(keys, i, cue, start_s, end_s, text, lang, speaker, stem, ipa, confidence, raw)`` of annotators' subtitles, in order ``i``.
+
+    The tag, first in the text, is ``[LANG|SPEAKER_n|STEM_x]``; speaker and stem are else taken from anywhere in the
+    text.  Lines after ♫ and what follows ``[LLM]`` on a line are no text.  What is missing is null.
+    """
+    rows = _blocks(files, text, keys).withColumn("raw", F.array_join(F.slice("lines", 3, F.size("lines")), "\n"))
+    found = lambda c, pattern, group=0: F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    parts = F.filter(F.transform(F.split(F.regexp_extract("raw", "^\\[([^\\]]+)\\]", 1), "\\|"), lambda p: F.trim(p)), lambda p: p != "")
+    rows = rows.withColumn("_parts", parts)
+    named = lambda pattern: F.get(F.filter(F.slice("_parts", 2, F.greatest(F.size("_parts"), F.lit(1))), lambda p: p.rlike(f"^{pattern}$")), F.lit(0))
+    anywhere = lambda pattern: F.coalesce(named(pattern), found("raw", pattern))
+    body = F.regexp_replace(F.regexp_replace("raw", "♫[^\\n]+\\n?", ""), "\\[LLM\\][^\\n]+\\n?", "")
+    return rows.select(
+        *keys, "i", "cue", "start_s", "end_s", F.regexp_replace(body, "^\\s+|\\s+$", "").alias("text"), found(F.get("_parts", F.lit(0)), "\\b([A-Z]{3})\\b", 1).alias("lang"),
+        anywhere("SPEAKER_\\d+").alias("speaker"), anywhere("STEM_[A-Z0-9_+-]+").alias("stem"), F.trim(found("raw", "♫fused:\\s*([^\\n]+)", 1)).alias("ipa"),
+        F.expr("try_cast(nullif(regexp_extract(raw, '(?i)conf[:\\\\s]+([0-9.]+)', 1), '') AS DOUBLE)").alias("confidence"), "raw",
+    )
+
+
+def rich_cues(files: DataFrame, text: str = "value", keys: Sequence[str] = ("path",)) -> DataFrame:
+    """``(keys, i, cue, start_s, end_s, duration, speaker, lang, text, source, ipa_allo, ipa_w2v2, ipa_fused, trim, conf, nah_markers, ejectives)``.
+
+    Subtitles with three streams of symbols: the third line is tag and text, ♫ lines below it name their kind, and the last
+    of a kind counts (empty without one).  Without a tag the language is ``oth`` and the speaker ``?``.  The first
+    source mark, in the order of ``SOURCE_MARKS``, is taken out of the text; without one the source is ``whisper``.
+    """
+    rows = _blocks(files, text, keys).withColumn("_line", F.coalesce(F.get("lines", F.lit(2)), F.lit("")))
+    tag = "(?U)^\\[(\\w+)\\|([^\\]]+)\\]\\s*(.*)"
+    tagged, part = F.col("_line").rlike(tag), lambda g: F.regexp_extract("_line", tag, g)
+    said = F.when(tagged, part(3)).otherwise(F.col("_line"))
+    lang = F.lower(part(1))
+    for name, code in LANGUAGE_NAMES.items():
+        lang = F.when(lang == name, code).otherwise(lang)
+    rows = rows.withColumns({"_said": said, "lang": F.when(tagged, lang).otherwise("oth"), "speaker": F.when(tagged, part(2)).otherwise("?")})
+    source, body = F.lit("whisper"), F.col("_said")
+    for m in reversed(SOURCE_MARKS):
+        there = F.contains("_said", F.lit(f"[{m}]"))
+        source, body = F.when(there, m.lower()).otherwise(source), F.when(there, F.trim(F.replace("_said", F.lit(f"[{m}]"), F.lit("")))).otherwise(body)
+    notes = lambda kind: F.filter(F.slice("lines", 4, F.size("lines")), lambda x: F.startswith(x, F.lit(f"♫{kind}:")))
+    last = lambda kind: F.coalesce(F.trim(F.substr(F.get(notes(kind), F.size(notes(kind)) - 1), F.lit(len(kind) + 3))), F.lit(""))
+    rows = rows.withColumns({"source": source, "text": body, **{name: last(kind) for name, kind in (("ipa_allo", "allo"), ("ipa_w2v2", "w2v2"), ("ipa_fused", "fused"), ("trim", "trim"), ("conf", "conf"))}})
+    marks = lambda known: F.array_sort(F.array_intersect(F.split("ipa_fused", "\\s+"), F.array(*map(F.lit, known))))
+    return rows.select(
+        *keys, "i", "cue", "start_s", "end_s", F.round(F.col("end_s") - F.col("start_s"), 2).alias("duration"), "speaker", "lang", "text", "source", "ipa_allo", "ipa_w2v2", "ipa_fused", "trim", "conf",
+        marks(NAHUATL_SYMBOLS).alias("nah_markers"), marks(EJECTIVES).alias("ejectives"),
+    )
+
+
 def cue_blocks(rows: DataFrame, number: Column) -> Column:
     """One subtitle block: number, times, tag and text, and a confidence line."""
     tag = F.concat(F.lit("["), F.upper("lang"), F.coalesce(F.concat(F.lit("|"), F.col("speaker")), F.lit("")), F.lit("] "))
@@ -179,3 +244,48 @@ def exported(rows: DataFrame, path: str, columns: Sequence[str], partition: str)
     safe = rows.select(*dict.fromkeys([partition, *columns]))
     safe.write.mode("overwrite").partitionBy(partition).json(path)
     return safe.groupBy(partition).agg(F.count("*").alias("n"))
+
+
+def segment_manifests(rows: DataFrame, keys: Sequence[str] = ("media",), order: Sequence[str] = ("s", "pos")) -> DataFrame:
+    """``(keys, value)``: a JSON manifest of each recording's segments ``(s, e)`` in milliseconds, with their number and length in all."""
+    one = F.struct(*order, F.struct(F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), (F.col("e") - F.col("s")).alias("duration_ms")).alias("_x"))
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("segment_count"), F.sum(F.col("e") - F.col("s")).alias("total_speech_ms"), F.array_sort(F.collect_list(one)).alias("_all"))
+    whole = F.struct(F.lit("1.0").alias("version"), "segment_count", "total_speech_ms", F.transform("_all", lambda x: x["_x"]).alias("segments"))
+    return sums.select(*keys, F.to_json(whole).alias("value"))
+
+
+def write_manifests(rows: DataFrame, path: str, keys: Sequence[str] = ("media",), order: Sequence[str] = ("s", "pos")) -> None:
+    """A folder for each recording, with one manifest in it."""
+    segment_manifests(rows, keys, order).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def truth_snapshot(annotations: DataFrame, keys: Sequence[str] = ("media",)) -> DataFrame:
+    """``(keys, cue_index, correct_lang, correct_speaker, start_s, end_s)`` of annotations with a language: what a snapshot holds."""
+    return annotations.where("coalesce(correct_lang, '') <> ''").select(*keys, "cue_index", "correct_lang", "correct_speaker", "start_s", "end_s")
+
+
+def report_language(text: Column) -> Column:
+    """The language of a cue's tag in lower case, names as codes; ``oth`` without a tag."""
+    code = F.lower(F.regexp_extract(text, "(?U)^\\[(\\w+)(?:\\|[^\\]]+)?\\]", 1))
+    names = F.create_map(*(F.lit(x) for kv in REPORT_NAMES.items() for x in kv))
+    return F.when(code == "", "oth").otherwise(F.coalesce(names[code], code))
+
+
+def snapshot_report(truth: DataFrame, predicted: DataFrame, keys: Sequence[str] = ("media",)) -> DataFrame:
+    """A row for each subset ``keys`` of a snapshot's rows against predictions ``(keys, cue_index, lang)``; unpredicted rows do not count.
+
+    ``total`` and ``unk`` count rows; shares, rounded to four places and null where nothing counts, are of all rows, of those
+    whose truth is known, of Nahuatl and Spanish ones, and of Nahuatl against the rest with its precision and
+    recall (0 where nothing counts). ``confusion`` lists (truth, prediction, n) of known ones.
+    """
+    gt, pred = F.col("gt"), F.col("pred")
+    rows = truth.select(*keys, "cue_index", F.lower("correct_lang").alias("gt")).join(predicted.select(*keys, "cue_index", F.col("lang").alias("pred")).where("lang IS NOT NULL"), [*keys, "cue_index"])
+    pairs = rows.groupBy(*keys, "gt", "pred").agg(F.count("*").alias("n"))
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    share = lambda hit, cond: F.round(of(cond & hit) / F.nullif(of(cond), F.lit(0)), 4)
+    known, right, nah = gt != "unk", gt == pred, (gt == "nah") == (pred == "nah")
+    cells = F.array_sort(F.collect_list(F.when(known, F.struct("gt", "pred", "n"))))
+    return pairs.groupBy(*keys).agg(
+        F.sum("n").alias("total"), of(~known).alias("unk"), share(right, F.lit(True)).alias("accuracy_all"), share(right, known).alias("accuracy_known"), share(right, gt.isin("nah", "spa")).alias("accuracy_two"),
+        share(nah, known).alias("accuracy_nah"), F.coalesce(share(gt == "nah", known & (pred == "nah")), F.lit(0.0)).alias("nah_precision"), F.coalesce(share(pred == "nah", known & (gt == "nah")), F.lit(0.0)).alias("nah_recall"), cells.alias("confusion"),
+    )
