@@ -47,11 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and a lost executor loses nothing."""
     bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

@@ -101,7 +101,7 @@ def suffixes(docs: DataFrame, least: int, gram: int = GRAM, id_col: str = "doc_i
     wanted = found.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     # repeated rows go while the rows are still where the join has put and sorted them
     rows = doc_text(docs, id_col, text_col).join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "keys")
-    out = settle(rows.mapInArrow(run, "doc_id long, start long, hash long"))
+    out = settle(rows.mapInArrow(run, "doc_id long, start long, hash long"), "zstd")  # places go up by one, which it packs well
     discard(found), discard(often)
     return out
 
@@ -160,7 +160,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col
     rows = rows.withColumn("new", F.coalesce(F.col("start") > before + least, F.lit(True)))
     rows = rows.withColumn("goes_on", F.coalesce((before == F.col("start") - 1) & (same["doc_id"] == F.col("least.doc_id")) & (same["start"] == F.col("least.start") - 1), F.lit(False)))
     begun = F.max(F.when(F.col("new"), F.col("start"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = settle(rows.select("doc_id", "start", "least", "goes_on", begun.alias("passage")))
+    rows = settle(rows.select("doc_id", "start", "least", "goes_on", begun.alias("passage")), "zstd")
     for x in read:
         discard(x)
 
