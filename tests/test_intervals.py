@@ -169,3 +169,8 @@ def test_one_to_one_counts_empty_intervals(spark, tmp_path):
     assert {r.best: (r.pos, r.ov) for r in got.collect()} == {0: (0, 0), 1: (1, 1000)}
     got, expected = both(spark, odd_events(spark, tmp_path), "c7_tier_routing")
     assert got == expected and sum(r[3] == "whisper" for r in got) == 3
+
+
+def test_best_overlap_counts_empty_intervals(spark, tmp_path):
+    got, expected = both(spark, odd_events(spark, tmp_path), "j3_best_overlap")
+    assert got == expected and any(r[1:] == (2, 1, 0) for r in got)
