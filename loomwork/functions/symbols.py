@@ -33,8 +33,8 @@ def _merged(symbols: Column, pairs: Sequence[tuple[str, str]]) -> Column:
 
 def canonical(symbols: Column, lateral: Column) -> Column:
     """Symbols without modifiers, by their equivalents; k w becomes one, t l only where ``lateral`` says so; blank ones go."""
-    plain = F.filter(F.transform(symbols, lambda x: F.trim(x)), lambda x: x != "")
-    plain = F.transform(F.transform(plain, strip_modifiers), lambda x: F.coalesce(_map(EQUIVALENT)[x], x))
+    plain = F.filter(F.transform(symbols, lambda x: strip_modifiers(F.trim(x))), lambda x: x != "")
+    plain = F.transform(plain, lambda x: F.coalesce(_map(EQUIVALENT)[x], x))
     return F.when(lateral, _merged(plain, [("k w", "kʷ"), ("t l", "tɬ")])).otherwise(_merged(plain, [("k w", "kʷ")]))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import sequences as sq
+from loomwork.functions import symbols as sy
 from loomwork.functions import text as tx
 from loomwork.sources import subtitles as st
 from loomwork.streaming import live
@@ -322,3 +323,10 @@ def test_letter_labels_of_any_length(spark):
     numbers = [0, 25, 26, 51, 52, 701, 702, 18277, 18278, 10**12]
     got = [r.x for r in spark.createDataFrame([(n,) for n in numbers], "i long").select(tx.letter_label(F.col("i")).alias("x")).collect()]
     assert got == [letters(n) for n in numbers] and got[:8] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ"]
+
+
+def test_canonical_symbols_meet_over_bare_marks(spark):
+    """A symbol that is only a length mark goes before its neighbours are merged."""
+    rows = spark.createDataFrame([(0, ["t", "ː", "l", "a"]), (1, ["k", " ː ", "ʼ", "w"]), (2, ["ː"])], "i int, v array<string>")
+    got = rows.orderBy("i").select(sy.canonical(F.col("v"), F.col("i") == 0).alias("x")).collect()
+    assert [r.x for r in got] == [["tɬ", "a"], ["kʷ"], []]
